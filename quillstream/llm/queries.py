@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, token_counts
+from . import media, sentencepiece, simhash, token_counts
 from .common import documents
 
 
@@ -18,8 +18,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(documents(spark, sf_dir))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode_documents(documents(spark, sf_dir))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_columns, op2_token_counts)
+    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op9_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
