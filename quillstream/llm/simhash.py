@@ -160,6 +160,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that with the least doc_id, one of them if its id repeats."""
     groups = near_duplicates(docs)
     kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "root", "fingerprint").distinct()
-    texts = docs.withColumn("_print", F.lower(F.lpad(F.hex(fingerprint(whole_text())), 16, "0")))
-    found = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_print") == F.col("fingerprint")))
-    return found.dropDuplicates(["root"]).select(docs.columns)
+    # The row travels as a struct, so that no column of docs clashes with one of ours.
+    texts = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.lower(F.lpad(F.hex(fingerprint(whole_text())), 16, "0")).alias("print"))
+    found = texts.join(kept, texts.doc_id.eqNullSafe(kept.kept_id) & (F.col("print") == F.col("fingerprint")))
+    return found.select("row", "root").dropDuplicates(["root"]).select("row.*")
