@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 1 << 19  # distinct words kept by one Python worker, about 250 bytes each
+CACHED_WORDS = 400_000  # distinct words kept by one Python worker, about 250 bytes each
 CACHED_PAIRS = 1 << 20  # slots for pairs of pieces whose fit is known
 NO_PIECE, OUTSIDE = -1, -2
 LAST_RANK = np.int64(1) << 40
@@ -215,8 +216,11 @@ def _neighbours(m: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ok
 
 
-def viterbi(m: Model, words: list[str], fits: Fits) -> list[list[int]]:
-    """Best path of each word; all words are of one length. OUTSIDE stands for an unknown character."""
+def viterbi(m: Model, words: list[str], fits: Fits) -> tuple[np.ndarray, np.ndarray]:
+    """Best paths of words of one length: the pieces by word and last character, and where one ends.
+
+    OUTSIDE stands for a character that is no piece.
+    """
     codes = _codes(words)
     w, n = codes.shape
     prefix = _hash(codes)
@@ -244,16 +248,15 @@ def viterbi(m: Model, words: list[str], fits: Fits) -> list[list[int]]:
         best = value.argmax(1)
         rows = np.arange(w)
         total[:, i], piece[:, i], step[:, i] = value[rows, best], found[rows, best], lengths[best]
-    out: list[list[int]] = [[] for _ in words]
     if not np.all(np.isfinite(total[:, n])):
         raise ValueError("a word has no path")
+    on_path = np.zeros((w, n), bool)
     at, rows = np.full(w, n), np.arange(w)
     while len(rows):
-        for r, p, k in zip(rows.tolist(), piece[rows, at[rows]].tolist(), at[rows].tolist(), strict=True):
-            out[r].append(p if p >= 0 else -k - 1)
+        on_path[rows, at[rows] - 1] = True
         at[rows] -= step[rows, at[rows]]
         rows = rows[at[rows] > 0]
-    return [x[::-1] for x in out]
+    return piece[:, 1:], on_path
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -278,7 +281,8 @@ class Encoder:
                 parts = _merge(MARK * n, m.ids, m.scores) if n <= 64 else [MARK * 16] * (n // 16 - 2) + _merge(MARK * (n % 16 + 32), m.ids, m.scores)
                 self.runs[n] = _packed([m.ids[p] for p in parts])
             else:
-                self.runs[n] = _packed(viterbi(m, [MARK * n], self.fits)[0])
+                self._learn([MARK * n])
+                self.runs[n] = self.known[MARK * n]
         return self.runs[n]
 
     def _outside(self, character: str) -> tuple[int, ...]:
@@ -287,19 +291,25 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not met so far, those of equal length together."""
-        m = self.model
         by_length: dict[int, list[str]] = {}
         for x in words:
             by_length.setdefault(len(x), []).append(x)
         for length, group in by_length.items():
             rows = max(1, (1 << 17) // length)
             for k in range(0, len(group), rows):
-                part = group[k : k + rows]
-                for word, path in zip(part, viterbi(m, part, self.fits), strict=True):
-                    ids: list[int] = []
-                    for p in path:
-                        ids.extend((p,) if p >= 0 else self._outside(word[-p - 2]))
-                    self.known[word] = _packed(ids)
+                self._learn(group[k : k + rows])
+
+    def _learn(self, words: list[str]) -> None:
+        piece, on_path = viterbi(self.model, words, self.fits)
+        packed = piece[on_path].astype(np.int32).tobytes()
+        ends = np.cumsum(on_path.sum(1)) * 4
+        starts = [0, *ends[:-1].tolist()]
+        self.known.update(zip(words, [packed[a:b] for a, b in zip(starts, ends.tolist(), strict=True)], strict=True))
+        for r in np.flatnonzero((on_path & (piece == OUTSIDE)).any(1)).tolist():
+            ids: list[int] = []
+            for k in np.flatnonzero(on_path[r]).tolist():
+                ids.extend((int(piece[r, k]),) if piece[r, k] >= 0 else self._outside(words[r][k]))
+            self.known[words[r]] = _packed(ids)
 
     def _words(self, text: str) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -307,14 +317,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         m, known = self.model, self.known
         split = [self._words(x) for x in texts]
-        # A BPE word with several marks in front: the last mark belongs to the word, see _led.
-        fresh = {y for x in split for y in set(x) if y not in known}
+        fresh = set(chain.from_iterable(split))
+        fresh.difference_update(known)
         if len(known) + len(fresh) > CACHED_WORDS:
             known.clear()
-            fresh = {y for x in split for y in x}
-        simple = {y for y in fresh if not (m.bpe and y.startswith(MARK * 2))} | ({y.lstrip(MARK) and MARK + y.lstrip(MARK) for y in fresh if m.bpe and y.startswith(MARK * 2)} - {""} - known.keys())
-        self.learn({y for y in simple if y.strip(MARK) or not m.bpe})
-        for y in fresh - known.keys():
+            fresh = set(chain.from_iterable(split))
+        # In BPE a run of marks merges last of all; only its last mark belongs to the word, see _led.
+        led = {y for y in fresh if y[:2] == MARK * 2 or y == MARK} if m.bpe else set()
+        behind = {MARK + x for y in led if (x := y.lstrip(MARK))}
+        self.learn((fresh - led) | (behind - known.keys()))
+        for y in led:
             known[y] = self._led(y)
         out = []
         for x in split:
