@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import whole_text
+from .common import materialize, whole_text
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenization pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1 << 12  # lengths of one block of suffix sums
+BLOCK = 1 << 7  # lengths of one block of suffix sums
 
 
 @lru_cache(maxsize=4)
@@ -60,7 +60,7 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     """
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     blocks = h.groupBy("block").agg(F.sum("docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
-    # One row per 4096 lengths: a billion tokens in one document would make 250,000 rows.
+    # One row for every BLOCK lengths: a document of ten million tokens would make 80,000 rows.
     later = W.Window.orderBy(F.desc("block")).rowsBetween(W.Window.unboundedPreceding, -1)
     whole = W.Window.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     carried = blocks.select(
@@ -96,4 +96,5 @@ def quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def document_token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    return context_limits(length_histogram(docs, token_count(whole_text(), path)))
+    """context_limits of the encoded lengths of docs; the texts are encoded once."""
+    return context_limits(materialize(length_histogram(docs, token_count(whole_text(), path)), "lengths"))
