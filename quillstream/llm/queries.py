@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, sentencepiece, simhash, token_counts, toxicity
+from . import media, mixing, ppm, sentencepiece, simhash, token_counts, toxicity
 from .common import documents, table
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,7 +40,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op4_toxicity, op9_simhash_near_dedup, op10_source_mixing)
+    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op4_toxicity, op7_ppm_scores, op9_simhash_near_dedup, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 
