@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, ppm, sentencepiece, simhash, token_counts, toxicity
+from . import media, mixing, ppm, sentencepiece, simhash, token_counts, toxicity, warc
 from .common import documents, table
 
 
@@ -31,6 +31,10 @@ def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(documents(spark, sf_dir))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -40,9 +44,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op4_toxicity, op7_ppm_scores, op9_simhash_near_dedup, op10_source_mixing)
+    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op4_toxicity, op7_ppm_scores, op8_warc_revisits, op9_simhash_near_dedup, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_revisits": warc.SQL}
