@@ -37,6 +37,22 @@ def fold(doc_id: Column, of: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
+def bounds_of(df: DataFrame, column: str, ranges: int) -> list[int]:
+    """Bounds that cut the values of a long column into about equal ranges; nulls don't count."""
+    found = df.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("b")).first().b
+    return sorted(set(found or []))
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or below the value, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    known = F.array(*map(F.lit, bounds)).cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(bounds)) & (F.get(known, n + s - 1) <= value), n + s).otherwise(n))
+    return F.when(value.isNull(), 0).otherwise(found)
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .common import bounds_of, range_of
+
 #: Headers that a not-modified answer may update (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name no content.
@@ -63,10 +65,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     r = records.select("record_id", "ts", "warc_type", "etag", "last_modified", "headers", canonical_url(F.col("url")).alias("key"))
     found = r.where("ts is not null").agg(F.count("*").alias("n")).first().n
     n = min(MOST_RANGES, max(RANGES, -(-found // RANGE_ROWS)))
-    bounds = r.agg(F.percentile_approx("ts", [k / n for k in range(1, n)], 10 * n).alias("b")).first().b or []
-    # A range's number is the number of bounds at or below the record's time: at most MOST_RANGES literals.
-    bounds = sorted(set(bounds))
-    r = r.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.col("ts"))) if bounds else F.lit(0))
+    r = r.withColumn("range", range_of(F.col("ts"), bounds_of(r, "ts", n)))
 
     is_response = F.col("warc_type") == "response"
     response = F.struct("record_id", "etag", "last_modified", "headers")
