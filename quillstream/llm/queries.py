@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, order_minhash, ppm, sentencepiece, simhash, token_counts, toxicity, warc
+from . import licenses, media, mixing, order_minhash, ppm, sentencepiece, simhash, token_counts, toxicity, warc
 from .common import documents, table
 
 
@@ -31,6 +31,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_order_minhash, op7_ppm_scores, op8_warc_revisits, op9_simhash_near_dedup, op10_source_mixing)
+    found = (op1_media_columns, op2_token_counts, op3_sentencepiece, op4_toxicity, op5_order_minhash, op6_license_scan, op7_ppm_scores, op8_warc_revisits, op9_simhash_near_dedup, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 
