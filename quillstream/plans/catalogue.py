@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import gates, ingestion, listening, texts
+from .registry import QUERIES, SQL, Query
+
+__all__ = ["flagship", "oracle_sql", "queries"]
+_MODULES = (gates, ingestion, listening, texts)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Top artists, tracks and albums of every user who allows it, over seven days."""
+    return listening.stats_all_users(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
