@@ -210,7 +210,7 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subscribed(e.select("seq", "user_id"), subscriptions).where("seq = own").select("seq", "subscriber_id", "user_id")
 
 
-@query(f"with {A.EVENTS_SQL} select seq, case when k % 2 = 0 then 0.5 end as battery, title, label, ms as last_ts from ev")
+@query(f"with {A.EVENTS_SQL} select seq, case when k % 2 = 0 then cast(0.5 as double) end as battery, title, label, ms as last_ts from ev")
 def loose_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots from JSON in which some fields are of another type."""
     k, ms = F.col("k"), A.epoch_ms(F.col("recorded_at"))
