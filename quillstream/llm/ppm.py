@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .common import fold, materialize, whole_text
 
 ORDER = 5
 END = b"\xff"  # never a byte of UTF-8
 CHUNK = 32 << 20
-PIECE = 2 << 20  # bytes whose n-grams are sorted at once
+PIECE = 1 << 19  # bytes whose n-grams are sorted at once
 SHARD = 1 << 18  # n-grams of a shard, about
 SCALE = 1_000_000  # prices are integers: millionths of log10
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,6 +91,15 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
+def _own_counts(found: list[np.ndarray], train: list[bool], size: int) -> np.ndarray:
+    """How often each word of a chunk is in its training documents."""
+    counts = np.zeros(size, np.int64)
+    for x, t in zip(found, train, strict=True):
+        if t:
+            np.add.at(counts, x, 1)
+    return counts
+
+
 #: A chunk's row, and the rows of its lists (gram or word is set).
 CHUNKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("raw_size", pa.int64()), ("text", pa.binary()), ("grams", pa.binary()), ("slot", pa.int64()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 CHUNKS_DDL = "block long, doc_ids array<long>, train array<boolean>, sizes array<long>, raw_size long, text binary, grams binary, slot long, gram long, word binary, n long"
@@ -105,13 +115,13 @@ def _chunk(block: int, ids: list, train: list[bool], texts: list[str]) -> Iterat
     slots: defaultdict[bytes, int] = defaultdict()
     slots.default_factory = slots.__len__
     streams, found = [], []
-    for x in texts:
+    for i, x in enumerate(texts):
         words = tokens(x)
+        texts[i] = ""  # its stream takes its place in memory
         streams.append(_stream(words))
-        found.append(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
-    learnt = [x for x, t in zip(found, train, strict=True) if t]
-    counts = np.bincount(np.concatenate(learnt), minlength=len(slots)) if learnt else np.zeros(len(slots), np.int64)
-    del found, learnt
+        found.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
+    counts = _own_counts(found, train, len(slots))
+    del found
     keys, sums = [], []
     for part, wanted in (([s for s, t in zip(streams, train, strict=True) if t], 1), ([s for s, t in zip(streams, train, strict=True) if not t], 0)):
         for _, grams, _ in _pieces(part):
@@ -259,30 +269,33 @@ def _score_chunk(chunk: pa.Table, lists: pa.Table, n: int, v: int) -> pa.Table:
     raw = pa.decompress(row["text"], row["raw_size"], "zstd", asbytes=True)
     grams = np.cumsum(np.frombuffer(pa.decompress(row["grams"], 8 * row["slot"], "zstd", asbytes=True), np.uint64), dtype=np.uint64)
     slot, value = lists.column("place").to_numpy(), lists.column("value").to_numpy()
-    of_gram, of_word = slot >= 0, slot < 0
+    of_gram = slot >= 0
     price = np.empty(len(grams), np.int64)
     price[slot[of_gram]] = value[of_gram]
-    count = np.zeros(int(of_word.sum()), np.int64)
-    count[-1 - slot[of_word]] = value[of_word]
     if of_gram.sum() != len(grams):
         raise ValueError("a chunk lacks prices")
     bits = max(1, int(len(grams)).bit_length() + 1)
     order = np.argsort(grams * MIX)
     grams, price = grams[order], price[order]
     first = np.searchsorted((grams * MIX) >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64))
-    base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
 
     ends = np.cumsum(row["sizes"])
     streams = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    del raw
     slots: defaultdict[bytes, int] = defaultdict()
     slots.default_factory = slots.__len__
-    n_tokens, n_known, base_score, score = [], [], [], []
+    found = []
     for s in streams:
         words = s[ORDER:].split()
-        at = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-        n_tokens.append(len(words))
-        n_known.append(int((count[at] > 0).sum()))
-        base_score.append(float(base[at].sum()))
+        found.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
+    count = _own_counts(found, row["train"], len(slots))
+    del slots
+    count[-1 - slot[~of_gram]] = value[~of_gram]  # words that other chunks count as well
+    base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+    n_tokens = [len(at) for at in found]
+    n_known = [int((count[at] > 0).sum()) for at in found]
+    base_score = [float(base[at].sum()) for at in found]
+    score: list[float] = []
     for _, wanted, starts in _pieces(streams):
         score.extend((np.add.reduceat(_lookup(grams, price, wanted, (first, bits)), starts) / SCALE).tolist())
     size = len(streams)
@@ -299,9 +312,14 @@ def score_documents(docs: DataFrame, train: Column | None = None) -> DataFrame:
     grams = packed.where("gram is not null").select("block", "slot", "gram", "n")
     words = packed.where("word is not null").select("block", "slot", "word", "n")
 
-    of_word = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    sums = of_word.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
-    n, v = sums.n or 0, sums.v or 0
+    # A chunk counts its own words again when it is scored: only the words that others count as well
+    # are sent back, and of those the first row stands for the word in the number of distinct words.
+    same = W.Window.partitionBy("word")
+    summed = words.select("block", "slot", "n", F.sum("n").over(same).alias("value"), F.row_number().over(same.orderBy(F.desc("n"), "block")).alias("row"))
+    shared = materialize(summed.where("value != n").select("block", "slot", "value", (F.col("n") > 0).alias("counts"), (F.col("row") == 1).alias("first")), "words")
+    rows = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("rows")).first()
+    rest = shared.agg(F.count_if("first").alias("first"), F.count_if("counts").alias("rows")).first()
+    n, v = rows.n or 0, rows.rows - rest.rows + rest.first
 
     of_gram = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     known = of_gram.where("n > 0")
@@ -316,5 +334,5 @@ def score_documents(docs: DataFrame, train: Column | None = None) -> DataFrame:
     priced = of_gram.groupBy(F.pmod(F.xxhash64(last_three), F.lit(shards)).alias("shard")).applyInArrow(lambda t: _price_shard(t.select(["gram", "n"]), sent.value), "gram long, price long")
 
     lists = grams.select("block", "slot", "gram").join(priced, "gram").select(F.col("block").alias("owner"), F.col("slot").alias("place"), F.col("price").alias("value"))
-    lists = lists.union(words.select("block", "slot", "word").join(of_word, "word").select("block", -1 - F.col("slot"), F.col("n")))
+    lists = lists.union(shared.select("block", -1 - F.col("slot"), "value"))
     return chunks.groupBy("block").cogroup(lists.groupBy("owner")).applyInArrow(lambda a, b: _score_chunk(a, b, n, v), RESULT)
