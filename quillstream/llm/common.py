@@ -53,6 +53,18 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), 0).otherwise(found)
 
 
+def sample_ids(df: DataFrame, n: int) -> DataFrame:
+    """The n distinct doc_ids with the least hashes (fewer if there are fewer); nulls don't count.
+
+    Only ids under a hash that about 3n + 100 ids have are sorted, so what a partition hands over does not
+    grow with the number of partitions.
+    """
+    span = 1 << 40
+    ids = df.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("h")).distinct()
+    least = -(-span * (3 * n + 100) // max(1, ids.count()))
+    return ids.where(F.col("h") < least).orderBy("h", "doc_id").limit(n).select("doc_id")
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -29,13 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, whole_text
+from .common import fold, sample_ids, whole_text
 
 POSITIVES, UNLABELLED, SAMPLE_WORDS = 2000, 5000, 4000
 MIN_PREFIX, MAX_PREFIX = 3, 8
 FEATURES = 1024
 EVIDENCE = 4.0  # standard errors by which a feature must be more frequent in toxic texts
-STEPS, RATE, DECAY = 400, 0.1, 1e-5
+STEPS, RATE = 400, 0.1
+DECAY = 0.02  # of the weights, divided by the number of positive texts
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,7 +66,7 @@ class Classifier:
             for w in words(text):
                 s = known.get(w)
                 if s is None:
-                    if len(known) > 1 << 19:
+                    if len(known) > 1 << 17:
                         known.clear()
                     s = known[w] = self.word_score(w)
                 total += s
@@ -126,7 +127,7 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np
             gradient = -prior * slope_p + slope_u - prior * slope_p
         else:
             gradient = prior * slope_p - slope_u  # the risk is below zero: undo the overfit part
-        gradient[:-1] += DECAY * w[:-1]
+        gradient[:-1] += DECAY / len(positive) * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -166,14 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Clas
     counts = toxic.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not counts.toxic:
         return NOTHING
-    order = F.xxhash64("doc_id")
-    chosen = toxic.where("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES).select("doc_id", F.lit(1).alias("p"))
+    chosen = sample_ids(toxic.where("toxic = 1"), POSITIVES).withColumn("p", F.lit(1))
     # A sample of all texts: among them the prior is the same as among the labelled ones.
-    unlabelled = docs.select("doc_id").where(learn).where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0).alias("p"))
-    # Both samples are bounded, so this side is broadcast.
+    unlabelled = sample_ids(docs.select("doc_id").where(learn), UNLABELLED).withColumn("p", F.lit(0))
+    # Both samples are bounded, so this side is broadcast. Rows that share an id count once.
     ids = F.broadcast(chosen.union(unlabelled))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("p", _distinct_words(whole_text()).alias("w")).orderBy("w").limit(2 * (POSITIVES + UNLABELLED)).collect()
-    return fit_texts([r.w for r in rows if r.p], [r.w for r in rows if not r.p], float(counts.toxic / counts.n))
+    found = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "p", _distinct_words(whole_text()).alias("w"))
+    rows = found.groupBy("doc_id", "p").agg(F.min("w").alias("w")).collect()
+    of = lambda p: sorted(r.w for r in rows if r.p == p)
+    return fit_texts(of(1), of(0), float(counts.toxic / counts.n))
 
 
 def probability(text: Column, classifier: Classifier) -> Column:
