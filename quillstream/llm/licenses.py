@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import sample_ids, whole_text
 
 #: Typical notices and key paragraphs of public licences, by family.
 TEMPLATES = {
@@ -219,8 +219,9 @@ def train(sample: list[str]) -> Classifier:
 def fit(docs: DataFrame) -> Classifier:
     """train() with a bounded sample of docs: SAMPLE documents, SAMPLE_WORDS words of each."""
     first = F.array_join(F.slice(F.split(whole_text(), r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS), " ")
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(SAMPLE).select(first.alias("t")).collect()
-    return train([r.t for r in rows])
+    # At most SAMPLE rows, so this side is broadcast. Rows that share an id count once.
+    found = docs.select("doc_id", "text").join(F.broadcast(sample_ids(docs, SAMPLE)), "doc_id").select("doc_id", first.alias("t"))
+    return train(sorted(r.t for r in found.groupBy("doc_id").agg(F.min("t").alias("t")).collect()))
 
 
 def _paragraphs(text: Column) -> Column:
