@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 400_000  # distinct words kept by one Python worker, about 250 bytes each
+CACHED_WORDS = 200_000  # distinct words kept by one Python worker, about 250 bytes each
 CACHED_PAIRS = 1 << 20  # slots for pairs of pieces whose fit is known
 NO_PIECE, OUTSIDE = -1, -2
 LAST_RANK = np.int64(1) << 40

@@ -61,7 +61,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
             hashes += found
             rows.append(i)
             counts.append(len(found))
-        if len(hashes) > 1 << 19:
+        if len(hashes) > 1 << 17:
             flush()
     flush()
     return out
