@@ -72,3 +72,10 @@ def catalogue(spark: SparkSession) -> DataFrame:
     rows = [("variable", k, "{" + k + "}", category, label, kind, example) for k, category, label, kind, example in VARIABLES]
     rows.append(("ternary", "charging", EXPRESSION, "system", None, None, None))
     return spark.createDataFrame(rows, "kind string, key string, placeholder string, category string, label string, type string, example string")
+
+DEFAULT_PREVIEW = "未在播放音乐"
+
+
+def preview(title: Column, image_key: Column) -> Column:
+    """What a link preview shows: the rendered title, or a general one where there is none (PRJ5)."""
+    return F.struct(F.coalesce(title, F.lit(DEFAULT_PREVIEW)).alias("title"), image_key.alias("image_key"))

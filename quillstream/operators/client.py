@@ -146,3 +146,8 @@ def report_totals(reports: DataFrame) -> DataFrame:
 def socket_reply(kind: Column) -> Column:
     """What the server answers to a message type: 1 (ping) with PONG, 3 (snapshot) with the current state."""
     return F.when(kind == "PING", "PONG").when(kind == "SNAPSHOT", "SNAPSHOT").otherwise("IGNORED")
+
+
+def subscriber_gauges(subscriptions: DataFrame) -> DataFrame:
+    """(users, clients): how many users are watched, and by how many clients (AGG10)."""
+    return subscriptions.agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("clients"))

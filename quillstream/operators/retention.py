@@ -80,3 +80,9 @@ def new_user(open_id: Column) -> list[Column]:
 def rotated(users: DataFrame, column: str) -> DataFrame:
     """users with a fresh random key in `column` (SNK8)."""
     return users.withColumn(column, F.replace(F.uuid(), F.lit("-")))
+
+
+def stored_covers(hashes: DataFrame, covers: DataFrame) -> DataFrame:
+    """hashes (cover_hash) with the stored cover's columns; `code` is 404 where there is none (SRC5)."""
+    known = covers.withColumn("_known", F.lit(True))
+    return hashes.join(known, "cover_hash", "left").withColumn("code", F.when(F.col("_known"), 0).otherwise(404)).drop("_known")

@@ -162,3 +162,21 @@ def data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(i == 0, F.concat(F.lit("data:image/webp;base64,"), b)).when(i == 1, F.concat(F.lit("data:text,"), b)).when(i == 4, F.lit("data:image/png;base64")).otherwise(b)
     d = A.covers(spark, sf_dir).where("data is not null").select("doc_id", media.parse_upload(text).alias("u"))
     return d.select("doc_id", "u.status", "u.content_type", media.content_hash(F.col("u.data")).alias("hash"))
+
+
+@query(f"with {_COVERS_SQL}, w as (select distinct case when doc_id % 4 = 0 then md5(cast(doc_id as varchar)) else md5(text) end as cover_hash from documents where text is not null) select w.cover_hash, first_id, size, case when cv.cover_hash is null then 404 else 0 end as code from w left join cv on cv.cover_hash = w.cover_hash")
+def cover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = A.covers(spark, sf_dir).where("data is not null").select(F.when(F.col("doc_id") % 4 == 0, F.md5(F.col("doc_id").cast("string").cast("binary"))).otherwise(media.content_hash(F.col("data"))).alias("cover_hash")).distinct()
+    return retention.stored_covers(wanted, _covers(spark, sf_dir)).select("cover_hash", "first_id", "size", "code")
+
+
+@query()
+def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with defaults and random keys (SNK6)."""
+    return A.users(spark, sf_dir).select(*retention.new_user(F.col("open_id")))
+
+
+@query()
+def key_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with fresh sharing keys (SNK8)."""
+    return retention.rotated(A.users(spark, sf_dir), "sharing_key").select("id", "sharing_key")

@@ -219,6 +219,16 @@ def loose_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("seq", F.col("s.system.batteryPct").alias("battery"), "s.music.title", "s.activity.label", F.col("s.lastUpdateTs").alias("last_ts"))
 
 
+@query(f"with {A.EVENTS_SQL} select count(distinct user_id) as users, count(*) as clients from ev where k % 3 = 0")
+def subscriber_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.subscriber_gauges(A.events(spark, sf_dir).where(F.col("k") % 3 == 0).select("user_id"))
+
+
+@query(f"with {A.EVENTS_SQL} select seq, cast(trunc(seq * 1.0009765625 * 1000) as bigint) as ms from ev")
+def wire_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.events(spark, sf_dir).select("seq", ingest.wire_ms(F.col("seq") * F.lit(1.0009765625)).alias("ms"))
+
+
 # --- folds that SQL can't express ---
 
 

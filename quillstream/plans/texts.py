@@ -76,6 +76,12 @@ def template_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.catalogue(spark).select("key", "category", "kind")
 
 
+@query(f"with {A.EVENTS_SQL} select seq, coalesce(title || '!', '未在播放音乐') as title, 'image-' || (k % 3) as image_key from ev")
+def link_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = templates.preview(F.concat(F.col("music.title"), F.lit("!")), F.concat(F.lit("image-"), (F.col("k") % 3).cast("string")))
+    return A.events(spark, sf_dir).select("seq", shown.alias("p")).select("seq", "p.*")
+
+
 # --- links ---
 
 _URLS = """lk as (select page_id, case page_id % 8

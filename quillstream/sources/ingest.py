@@ -56,3 +56,8 @@ def loose_snapshot(text: Column) -> Column:
     s = F.from_json(text, schemas.SNAPSHOT)
     without = lambda m, fields: F.when(s[m].isNotNull(), F.struct(*(s[m][f].alias(f) for f in fields)))
     return F.struct(without("system", ("batteryPct", "charging", "cpuPct", "memoryPct")).alias("system"), without("music", ("title", "artist", "album", "coverHash")).alias("music"), without("activity", ("label",)).alias("activity"), s["lastUpdateTs"].alias("lastUpdateTs"))
+
+
+def wire_ms(seconds: Column) -> Column:
+    """Seconds with a fraction as whole milliseconds, truncated (PRJ4)."""
+    return (seconds * 1000).cast("long")
