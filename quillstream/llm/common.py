@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers share the executor with the next stage."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, which releases memory after each batch."""
+
+    @wraps(f)
+    def run(*batch):
+        try:
+            return f(*batch)
+        finally:
+            release()
+
+    return run
+
+
 def fold(doc_id: Column, of: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo `of`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))
@@ -71,13 +102,15 @@ def whole_text(text: str = "text") -> Column:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch hands to Python by bytes: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound what one Arrow batch hands to Python by bytes, for this session: texts may be very long.
+
+    Each operator that calls Python asks for it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import fold, materialize, whole_text
+from .common import bound_batches, fold, materialize, release, whole_text
 
 ORDER = 5
 END = b"\xff"  # never a byte of UTF-8
@@ -110,18 +110,36 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in CHUNKS], [f.name for f in CHUNKS])
 
 
-def _chunk(block: int, ids: list, train: list[bool], texts: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of one chunk: slot numbers follow the sorted n-grams, and the words as they come."""
-    slots: defaultdict[bytes, int] = defaultdict()
-    slots.default_factory = slots.__len__
-    streams, found = [], []
-    for i, x in enumerate(texts):
-        words = tokens(x)
-        texts[i] = ""  # its stream takes its place in memory
-        streams.append(_stream(words))
-        found.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
+class Chunk:
+    """The documents of one chunk, as they come."""
+
+    def __init__(self):
+        self.ids, self.train, self.streams, self.found, self.size = [], [], [], [], 0
+        self.slots: defaultdict[bytes, int] = defaultdict()
+        self.slots.default_factory = self.slots.__len__
+
+    def add(self, doc_id: int | None, train: bool, text: str) -> None:
+        words = tokens(text)
+        self.ids.append(doc_id)
+        self.train.append(train)
+        self.streams.append(_stream(words))
+        self.found.append(np.fromiter(map(self.slots.__getitem__, words), np.int32, len(words)))
+        self.size += len(text)
+
+
+def _rows(block: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    """The rows of one chunk, which is used up: slot numbers follow the words as they came, and the sorted n-grams."""
+    ids, train, streams, found, slots = chunk.ids, chunk.train, chunk.streams, chunk.found, chunk.slots
+    del chunk.streams, chunk.found, chunk.slots
     counts = _own_counts(found, train, len(slots))
     del found
+    step = 1 << 16
+    words = list(slots)
+    del slots
+    for i in range(0, len(words), step):
+        k = len(words[i : i + step])
+        yield _batch(block=np.full(k, block), slot=np.arange(i, i + k), word=words[i : i + step], n=counts[i : i + step])
+    del words, counts
     keys, sums = [], []
     for part, wanted in (([s for s, t in zip(streams, train, strict=True) if t], 1), ([s for s, t in zip(streams, train, strict=True) if not t], 0)):
         for _, grams, _ in _pieces(part):
@@ -130,38 +148,33 @@ def _chunk(block: int, ids: list, train: list[bool], texts: list[str]) -> Iterat
             sums.append(n * wanted)
             if len(keys) > 8:
                 keys, sums = ([x] for x in _summed(keys, sums))
+        del part
     grams, seen = _summed(keys, sums)
     raw = b"".join(streams)
     packed = pa.compress(raw, "zstd", asbytes=True)
     delta = pa.compress(np.diff(grams, prepend=np.uint64(0)).tobytes(), "zstd", asbytes=True)
     yield _batch(block=[block], doc_ids=[ids], train=[train], sizes=[[len(s) for s in streams]], raw_size=[len(raw)], text=[packed], grams=[delta], slot=[len(grams)])
-    step = 1 << 16
+    del streams, raw, packed, delta
     for i in range(0, len(grams), step):
         k = len(grams[i : i + step])
         yield _batch(block=np.full(k, block), slot=np.arange(i, i + k), gram=grams[i : i + k].astype(np.int64), n=seen[i : i + step])
-    words = list(slots)
-    for i in range(0, len(words), step):
-        k = len(words[i : i + step])
-        yield _batch(block=np.full(k, block), slot=np.arange(i, i + k), word=words[i : i + step], n=counts[i : i + step])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 32
-    ids, train, texts, size = [], [], [], 0
+    chunk = Chunk()
     for batch in batches:
-        for i, t, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "train", "text")), strict=True):
-            ids.append(i)
-            train.append(t)
-            texts.append(x)
-            size += len(x)
-            if size >= CHUNK:
-                yield from _chunk(block, ids, train, texts)
-                block += 1
-                ids, train, texts, size = [], [], [], 0
-    if ids:
-        yield from _chunk(block, ids, train, texts)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "train", "text")), strict=True):
+            chunk.add(*row)
+            if chunk.size >= CHUNK:
+                yield from _rows(block, chunk)
+                block, chunk = block + 1, Chunk()
+    if chunk.ids:
+        yield from _rows(block, chunk)
+    del chunk
+    release()
 
 
 def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,18 +280,8 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score_chunk(chunk: pa.Table, lists: pa.Table, n: int, v: int) -> pa.Table:
     row = chunk.to_pylist()[0]
     raw = pa.decompress(row["text"], row["raw_size"], "zstd", asbytes=True)
-    grams = np.cumsum(np.frombuffer(pa.decompress(row["grams"], 8 * row["slot"], "zstd", asbytes=True), np.uint64), dtype=np.uint64)
     slot, value = lists.column("place").to_numpy(), lists.column("value").to_numpy()
     of_gram = slot >= 0
-    price = np.empty(len(grams), np.int64)
-    price[slot[of_gram]] = value[of_gram]
-    if of_gram.sum() != len(grams):
-        raise ValueError("a chunk lacks prices")
-    bits = max(1, int(len(grams)).bit_length() + 1)
-    order = np.argsort(grams * MIX)
-    grams, price = grams[order], price[order]
-    first = np.searchsorted((grams * MIX) >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64))
-
     ends = np.cumsum(row["sizes"])
     streams = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     del raw
@@ -289,22 +292,38 @@ def _score_chunk(chunk: pa.Table, lists: pa.Table, n: int, v: int) -> pa.Table:
         words = s[ORDER:].split()
         found.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
     count = _own_counts(found, row["train"], len(slots))
-    del slots
+    del slots, words
     count[-1 - slot[~of_gram]] = value[~of_gram]  # words that other chunks count as well
     base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
     n_tokens = [len(at) for at in found]
     n_known = [int((count[at] > 0).sum()) for at in found]
     base_score = [float(base[at].sum()) for at in found]
+    del found, base, count
+    release()
+
+    # The n-grams by the upper bits of a mixed hash: each look-up starts at the first with the same bits.
+    grams = np.cumsum(np.frombuffer(pa.decompress(row["grams"], 8 * row["slot"], "zstd", asbytes=True), np.uint64), dtype=np.uint64)
+    price = np.empty(len(grams), np.int64)
+    price[slot[of_gram]] = value[of_gram]
+    if of_gram.sum() != len(grams):
+        raise ValueError("a chunk lacks prices")
+    bits = max(1, int(len(grams)).bit_length())
+    order = np.argsort(grams * MIX)
+    grams, price = grams[order], price[order]
+    first = np.searchsorted((grams * MIX) >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
     score: list[float] = []
     for _, wanted, starts in _pieces(streams):
         score.extend((np.add.reduceat(_lookup(grams, price, wanted, (first, bits)), starts) / SCALE).tolist())
     size = len(streams)
+    del streams, grams, price, first
+    release()
     return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array([not t for t in row["train"]]), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * size, pa.int64()), "base_score": base_score, "score": score})
 
 
 def score_documents(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """The columns of RESULT for every row of docs (doc_id, text); `train` says which rows to learn from."""
     spark = docs.sparkSession
+    bound_batches(spark)
     train = fold(F.col("doc_id")) != 1 if train is None else train
     packed = docs.select(F.col("doc_id").cast("long"), train.alias("train"), whole_text().alias("text")).mapInArrow(_packed, CHUNKS_DDL)
     packed = materialize(packed, "chunks")
