@@ -11,7 +11,7 @@ the headers that a not-modified answer may update replace those of the response.
 
 Defined results: outcome is `resolved`, `unvalidated` (neither side's validators can be compared),
 `mismatch`, `no_prior`, or `no_url` for a record without a URL. Responses of the same second are not
-earlier. Of repeated responses the one with the greatest record_id counts. Null headers count as none.
+earlier, and records without a time never match. Of repeated responses the one with the greatest record_id counts. Null headers count as none.
 An empty table gives an empty result.
 """
 
@@ -69,7 +69,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     is_response = F.col("warc_type") == "response"
     response = F.struct("record_id", "etag", "last_modified", "headers")
-    urls = r.where("key is not null")
+    urls = r.where("key is not null and ts is not null")
     last = urls.groupBy("key", "range").agg(F.max_by(F.when(is_response, response), F.when(is_response, F.struct("ts", "record_id"))).alias("last"))
     before = W.Window.partitionBy("key").orderBy("range").rowsBetween(W.Window.unboundedPreceding, -1)
     carried = last.select("key", "range", F.last("last", ignorenulls=True).over(before).alias("carried"))
@@ -77,7 +77,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     earlier = W.Window.partitionBy("key", "range").orderBy("ts", F.col("warc_type").eqNullSafe("response"), "record_id").rowsBetween(W.Window.unboundedPreceding, -1)
     near = urls.withColumn("near", F.last(F.when(is_response, response), ignorenulls=True).over(earlier)).where("warc_type = 'revisit'")
     joined = near.join(carried, ["key", "range"]).withColumn("prior", F.coalesce("near", "carried")).drop("near", "carried")
-    lost = r.where("key is null and warc_type = 'revisit'").withColumn("prior", F.lit(None).cast(joined.schema["prior"].dataType))
+    lost = r.where("(key is null or ts is null) and warc_type = 'revisit'").withColumn("prior", F.lit(None).cast(joined.schema["prior"].dataType))
     x = joined.unionByName(lost)
     tags = F.col("etag").isNotNull() & F.col("prior.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("prior.last_modified").isNotNull()
