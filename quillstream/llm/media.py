@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import bound_batches, whole_text
 
 UNIT = 64  # bytes of one stored sample
 GOP = 16  # every 16th sample is a sync sample
@@ -245,6 +245,7 @@ def media_columns(df: DataFrame, media: str = "media", out: str = "media_info")
     All other columns pass through; a column already named `out` is replaced. Null files give a
     struct of nulls, malformed files a struct whose only value is `error`.
     """
+    bound_batches(df.sparkSession)
     return df.withColumn(out, F.pandas_udf(_inspected, INFO)(F.col(media)))
 
 
@@ -253,6 +254,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty, repeated rows stay, an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     text = whole_text()
     x = F.pandas_udf(_digest, DIGEST)(stored_media(text))
     return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), x.alias("x")).select("doc_id", "n_bytes", "x.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize
+from .common import bound_batches, materialize, tidy
 
 #: Fixed value: what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -188,8 +188,9 @@ def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     def texts(text: pd.Series, passes: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_taken_texts(*x) for x in zip(text, passes, spans, strict=True)])
 
+    bound_batches(docs.sparkSession)
     sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = F.explode(F.pandas_udf(texts, "array<string>")(F.coalesce("row.text", F.lit("")), F.col("passes"), F.col("spans")))
+    taken = F.explode(F.pandas_udf(tidy(texts), "array<string>")(F.coalesce("row.text", F.lit("")), F.col("passes"), F.col("spans")))
     new = {"text": F.col("taken_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("taken_text").cast(docs.schema["n_chars"].dataType)

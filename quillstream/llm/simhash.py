@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize, whole_text
+from .common import bound_batches, materialize, tidy, whole_text
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -73,7 +73,7 @@ def fingerprint(text: Column) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(fingerprints([x or "" for x in texts]).view(np.int64))
 
-    return F.pandas_udf(of, "long")(text)
+    return F.pandas_udf(tidy(of), "long")(text)
 
 
 def _flips(value: Column, bits: int) -> Column:
@@ -147,6 +147,7 @@ def labels(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least doc_id reachable) and root (the component's least
     fingerprint), one row per row of docs."""
+    bound_batches(docs.sparkSession)
     prints = materialize(docs.select("doc_id", fingerprint(whole_text()).alias("fp")), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labelled = materialize(labels(nodes.select("fp")), "labels")

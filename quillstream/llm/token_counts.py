@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize, whole_text
+from .common import bound_batches, materialize, whole_text
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenization pattern of this vocabulary.
@@ -97,4 +97,5 @@ def quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
 
 def document_token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """context_limits of the encoded lengths of docs; the texts are encoded once."""
+    bound_batches(docs.sparkSession)
     return context_limits(materialize(length_histogram(docs, token_count(whole_text(), path)), "lengths"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sample_ids, whole_text
+from .common import bound_batches, fold, sample_ids, tidy, whole_text
 
 POSITIVES, UNLABELLED, SAMPLE_WORDS = 2000, 5000, 4000
 MIN_PREFIX, MAX_PREFIX = 3, 8
@@ -154,7 +154,7 @@ def _distinct_words(text: Column) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: " ".join(sorted(words(x))[:SAMPLE_WORDS]))
 
-    return F.pandas_udf(of, "string")(text)
+    return F.pandas_udf(tidy(of), "string")(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Classifier:
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Clas
 
     Several labels of one document count as toxic if any does; null labels count as none.
     """
+    bound_batches(docs.sparkSession)
     learn = fold(F.col("doc_id")) != 0 if learn is None else learn
     toxic = labels.where("toxic is not null and doc_id is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = toxic.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -185,15 +186,17 @@ def probability(text: Column, classifier: Classifier) -> Column:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(classifier.scores(list(texts), known))
 
-    return F.pandas_udf(score, "double")(text)
+    return F.pandas_udf(tidy(score), "double")(text)
 
 
 def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    bound_batches(docs.sparkSession)
     scored = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), probability(whole_text(), classifier).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject_toxic(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """docs without the texts that score a half or more."""
+    bound_batches(docs.sparkSession)
     return docs.where(probability(whole_text(), classifier) < 0.5)
