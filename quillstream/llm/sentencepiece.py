@@ -26,13 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import bound_batches, tidy, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 200_000  # distinct words kept by one Python worker, about 250 bytes each
+CACHED_WORDS = 75_000  # distinct words of each of two generations that a Python worker keeps
+UPPER = 18  # bits of a key that say where its probe starts
 CACHED_PAIRS = 1 << 20  # slots for pairs of pieces whose fit is known
 NO_PIECE, OUTSIDE = -1, -2
 LAST_RANK = np.int64(1) << 40
@@ -45,7 +46,8 @@ class Model:
     bpe: bool
     keys: np.ndarray  # hashes of the pieces that can end up in a result, sorted
     key_ids: np.ndarray
-    first: np.ndarray  # of the sorted keys, by their upper 16 bits
+    first: np.ndarray  # of the sorted keys, by their upper bits
+    some: np.ndarray  # whether any key has these upper bits
     scores: np.ndarray
     longest: int
     bytes_: list[int] | None
@@ -137,8 +139,8 @@ def load(path: str = MODEL) -> Model:
     pairs = halves[made, 0] * n + halves[made, 1]
     by_pair = np.argsort(pairs)
     fallback = byte_ids if sp.piece_to_id("<0x00>") != sp.unk_id() else None
-    first = np.searchsorted(keys[order] >> np.uint64(48), np.arange((1 << 16) + 1))
-    return Model(pieces, ids, bpe, keys[order], key_ids[order], first, scores, max(by_length), fallback, sp.unk_id(), rank, halves, pairs[by_pair], rank[made][by_pair])
+    first = np.searchsorted(keys[order] >> np.uint64(64 - UPPER), np.arange((1 << UPPER) + 1)).astype(np.int32)
+    return Model(pieces, ids, bpe, keys[order], key_ids[order], first, first[1:] > first[:-1], scores, max(by_length), fallback, sp.unk_id(), rank, halves, pairs[by_pair], rank[made][by_pair])
 
 
 def _probe(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
@@ -151,10 +153,10 @@ def _pieces(m: Model, wanted: np.ndarray) -> np.ndarray:
     wanted = _mix(wanted)
     found = np.full(wanted.size, NO_PIECE, np.int64)
     flat = wanted.ravel()
-    top = (flat >> np.uint64(48)).astype(np.int64)
+    top = (flat >> np.uint64(64 - UPPER)).astype(np.int64)
+    rows = np.flatnonzero(m.some[top])
+    flat, top = flat[rows], top[rows]
     at, end = m.first[top], m.first[top + 1]
-    rows = np.flatnonzero(at < end)
-    at, end, flat = at[rows], end[rows], flat[rows]
     while len(rows):
         hit = m.keys[at] == flat
         found[rows[hit]] = m.key_ids[at[hit]]
@@ -227,31 +229,34 @@ def viterbi(m: Model, words: list[str], fits: Fits) -> tuple[np.ndarray, np.ndar
     powers = np.ones(m.longest + 1, np.uint64)
     powers[1:] = np.cumprod(np.full(m.longest, MULTIPLIER), dtype=np.uint64)
     worst = m.scores.min() - 10.0
-    total = np.full((w, n + 1), -np.inf)
-    total[:, 0] = 0
+    total = np.zeros((w, n + 1 if not m.bpe else 1))
+    rows = np.arange(w)
     piece = np.full((w, n + 1), OUTSIDE, np.int64)
     step = np.ones((w, n + 1), np.int64)
     for i in range(1, n + 1):
         lengths = np.arange(1, min(m.longest, i) + 1)
         starts = i - lengths
         found = _pieces(m, prefix[:, i, None] - prefix[:, starts] * powers[lengths])
-        value = np.where(found >= 0, total[:, starts] + m.scores[found] * (not m.bpe), -np.inf)
-        if m.bpe:
-            row, col = np.nonzero(found >= 0)
-            inner = starts[col] > 0
-            row, col = row[inner], col[inner]
-            fit = fits(piece[row, starts[col]], found[row, col])
-            value[row[~fit], col[~fit]] = -np.inf
         alone = found[:, 0] < 0
-        value[alone, 0] = total[alone, i - 1] + (0 if m.bpe else worst)
+        if m.bpe:
+            open_ = found >= 0
+            row, col = np.nonzero(open_[:, : i - 1] if i <= m.longest else open_)  # a whole prefix always fits
+            misfit = ~fits(piece[row, starts[col]], found[row, col])
+            open_[row[misfit], col[misfit]] = False
+            open_[alone, 0] = True
+            value = open_
+        else:
+            value = np.where(found >= 0, total[:, starts] + m.scores[found], -np.inf)
+            value[alone, 0] = total[alone, i - 1] + worst
         found[alone, 0] = OUTSIDE
         best = value.argmax(1)
-        rows = np.arange(w)
-        total[:, i], piece[:, i], step[:, i] = value[rows, best], found[rows, best], lengths[best]
-    if not np.all(np.isfinite(total[:, n])):
-        raise ValueError("a word has no path")
+        piece[:, i], step[:, i] = found[rows, best], lengths[best]
+        if not m.bpe:
+            total[:, i] = value[rows, best]
+        elif not value[rows, best].all():
+            raise ValueError("a word has no path")
     on_path = np.zeros((w, n), bool)
-    at, rows = np.full(w, n), np.arange(w)
+    at = np.full(w, n)
     while len(rows):
         on_path[rows, at[rows] - 1] = True
         at[rows] -= step[rows, at[rows]]
@@ -270,6 +275,7 @@ class Encoder:
         self.model = load(path)
         self.fits = Fits(self.model)
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}  # the generation before: what is met again moves on
         self.runs: dict[int, bytes] = {}
         self.raw: list[bytes] = []
 
@@ -320,8 +326,11 @@ class Encoder:
         fresh = set(chain.from_iterable(split))
         fresh.difference_update(known)
         if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
+            self.older, self.known = known, {}
+            known = self.known
             fresh = set(chain.from_iterable(split))
+        known.update((y, self.older[y]) for y in fresh & self.older.keys())
+        fresh.difference_update(known)
         # In BPE a run of marks merges last of all; only its last mark belongs to the word, see _led.
         led = {y for y in fresh if y[:2] == MARK * 2 or y == MARK} if m.bpe else set()
         behind = {MARK + x for y in led if (x := y.lstrip(MARK))}
@@ -385,7 +394,7 @@ def encoded(text: Column, path: str = MODEL) -> Column:
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series([ids for part in _slices(texts) for ids in encoder(path).encode(part)], dtype=object)
 
-    return F.pandas_udf(encode, "array<int>")(text)
+    return F.pandas_udf(tidy(encode), "array<int>")(text)
 
 
 def decoded(ids: Column, path: str = MODEL) -> Column:
@@ -394,7 +403,7 @@ def decoded(ids: Column, path: str = MODEL) -> Column:
     def decode(rows: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else encoder(path).decode([x])[0] for x in rows], dtype=object)
 
-    return F.pandas_udf(decode, "string")(ids)
+    return F.pandas_udf(tidy(decode), "string")(ids)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -408,8 +417,9 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
         rows = []
         for part in _slices(texts):
             ids = e.encode(part)
-            rows += [(len(i), i, back == x.replace(MARK, " ")) for x, i, back in zip(part, ids, e.decode([i.tolist() for i in ids]), strict=True)]
+            rows += [(len(i), i, e.decode([i.tolist()])[0] == x.replace(MARK, " ")) for x, i in zip(part, ids, strict=True)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "round_trip"])
 
-    x = F.pandas_udf(both, "n_tokens long, ids array<int>, round_trip boolean")(whole_text())
+    bound_batches(docs.sparkSession)
+    x = F.pandas_udf(tidy(both), "n_tokens long, ids array<int>, round_trip boolean")(whole_text())
     return docs.select("doc_id", x.alias("x")).select("doc_id", "x.*")
