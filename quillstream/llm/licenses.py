@@ -13,8 +13,8 @@ templates and the bounded training sample; what matches nothing is dropped befor
 for paragraphs with matches are exchanged.
 
 Defined results: a document without a predicted paragraph has family null, probability 0 and confirmed
-false; null and empty texts have no paragraphs. Of a document's paragraphs the confirmed one with the
-highest probability counts, then the first. Repeated rows stay; an empty table gives an empty result.
+false, and nothing found; null and empty texts have no paragraphs. All predicted paragraphs are returned; the
+document's own columns repeat the confirmed one with the highest probability, then the first. Repeated rows stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -239,7 +239,8 @@ def _triples(df: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, family, probability, paragraph (its number), coverage (of the best template), confirmed."""
+    """doc_id, family, probability, paragraph (its number), coverage (of the best template), confirmed; and
+    found: the same of every predicted paragraph, in the order of the text."""
     spark = docs.sparkSession
     n = len(FAMILIES)
     zero = [0.0] * n
@@ -282,8 +283,10 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     p = p.withColumn("coverage", F.when(predicted, F.array_max(F.transform(F.get(own, F.col("best")), share))).otherwise(0.0))
     p = p.withColumn("probability", F.when(predicted, F.col("probability")).otherwise(0.0)).withColumn("confirmed", F.col("coverage") >= COVERED)
     order = F.struct("confirmed", "probability", (-F.col("_place")).alias("before"))
-    best = p.groupBy("_row", "doc_id").agg(F.max_by(F.struct("family", "probability", F.when(F.col("family").isNotNull(), F.col("_place")).alias("paragraph"), "coverage", "confirmed"), order).alias("x"))
-    return best.select("doc_id", "x.*")
+    best = F.max_by(F.struct("family", "probability", F.when(F.col("family").isNotNull(), F.col("_place")).alias("paragraph"), "coverage", "confirmed"), order)
+    one = F.struct(F.col("_place").alias("paragraph"), "family", "probability", "coverage", "confirmed")
+    found = F.sort_array(F.collect_list(F.when(F.col("family").isNotNull(), one)))
+    return p.groupBy("_row", "doc_id").agg(best.alias("x"), found.alias("found")).select("doc_id", "x.*", "found")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -74,3 +74,21 @@ def test_query_finds_every_planted_line(spark, duck, sf_dir):
 def test_columns_may_clash(spark, model):
     df = spark.createDataFrame([(1, "Licensed under the MIT License.", 1, "x")], "doc_id long, text string, _row int, family string")
     assert [r.family for r in lic.scan(df, model).collect()] == ["mit"]
+
+
+def test_every_predicted_paragraph_is_found(spark, model):
+    texts = [(9003, lic.TEMPLATES["bsd"][0] + "\n" + lic.TEMPLATES["isc"][0]), (1, "Licensed under the MIT License.\nnothing\nLicensed under CC BY-NC 4.0."), (2, "nothing of the kind"), (3, None)]
+    rows = {r.doc_id: r for r in lic.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert [(x.paragraph, x.family, x.confirmed) for x in rows[9003].found] == [(0, "bsd", True), (1, "isc", True)]
+    assert [(x.paragraph, x.family, x.confirmed) for x in rows[1].found] == [(0, "mit", True), (2, "cc-by-nc", True)]
+    assert rows[2].found == rows[3].found == []
+    for i in (9003, 1):
+        best = max(rows[i].found, key=lambda x: (x.confirmed, x.probability, -x.paragraph))
+        assert all(rows[i][c] == best[c] for c in best.asDict())
+
+
+def test_every_predicted_paragraph_of_the_documents(spark, model, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r for r in lic.scan(docs, model).collect()}
+    for d in docs.collect():
+        assert {(x.family, x.confirmed) for x in rows[d.doc_id].found} == expected(model, d.text or ""), d.doc_id
