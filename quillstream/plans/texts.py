@@ -162,7 +162,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.get(F.array(*map(F.lit, _LINES)), n.cast("int")), F.col("text"))
     body = F.to_json(F.struct(text.alias("text")))
     m = ingest.bot_messages(c.select(F.struct("conv_id", "turn", F.col("text").alias("t")).alias("message_id"), body.alias("body")))
-    return m.select("message_id.conv_id", "message_id.turn", "command").where(F.col("conv_id") % (2 * len(_LINES)) < len(_LINES))
+    return m.select("message_id.conv_id", "message_id.turn", "command")
+
+
+def _constant_lines(messages: DataFrame) -> DataFrame:
+    """Only the messages of _LINES, which the SQL of the two queries below looks up; the queries named _all have no such filter."""
+    return messages.where(F.col("conv_id") % (2 * len(_LINES)) < len(_LINES))
 
 
 _AT = f"[cast(conv_id % {2 * len(_LINES)} as int) + 1]"
@@ -171,11 +176,33 @@ _WHERE = f"from conversations where conv_id % {2 * len(_LINES)} < {len(_LINES)}"
 
 @query(f"select conv_id, turn, {_sql_list(tuple(a for a, _ in _PARSED))}{_AT} as action, {_sql_list(tuple(p for _, p in _PARSED))}{_AT} as params {_WHERE}")
 def parse_command(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark, sf_dir).select("conv_id", "turn", "command.action", F.array_join("command.params", " ").alias("params"))
+    return _constant_lines(_messages(spark, sf_dir)).select("conv_id", "turn", "command.action", F.array_join("command.params", " ").alias("params"))
 
 
 @query(f"select conv_id, turn, {_sql_list(_VALID)}{_AT} as verdict {_WHERE}")
 def validate_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _constant_lines(_messages(spark, sf_dir)).select("conv_id", "turn", commands.validate(F.col("command")).alias("verdict"))
+
+
+_BLANKS = r"[ \t\n\x0b\f\r\x{00a0}]+"
+_COMMANDS_SQL = rf"""li as (select conv_id, turn, regexp_replace(coalesce({_sql_list(_LINES)}{_AT}, text, ''), '^{_BLANKS}|{_BLANKS}$', '', 'g') as t from conversations),
+cl as (select conv_id, turn, case when t = '' then null when starts_with(t, '/') then lower(t) {" ".join(f"when t = {_lit(k)} then {_lit(v)}" for k, v in commands.PHRASES.items())} else 'unknown' end as line from li),
+cm as (select conv_id, turn, regexp_replace(p[1], '^/', '') as action, array_to_string(p[2:], ' ') as params from (select conv_id, turn, regexp_split_to_array(line, '{_BLANKS}') as p from cl))"""
+
+
+@query(f"with {_COMMANDS_SQL} select conv_id, turn, action, params from cm")
+def parse_command_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, those with the table's own text too."""
+    return _messages(spark, sf_dir).select("conv_id", "turn", "command.action", F.array_join("command.params", " ").alias("params"))
+
+
+@query(f"""with {_COMMANDS_SQL} select conv_id, turn, case when action is null then null
+  when action = 'public' or action = 'stat' then case when params in ('on', 'off') then 'ok' else 'bad_params' end
+  when action = 'rotate' then case when params in ('secret-key', 'sharing-key') then 'ok' else 'bad_params' end
+  when action in ('config', 'help') then case when params = '' then 'ok' else 'bad_params' end
+  when action = 'info' then 'ok' else 'unknown' end as verdict from cm""")
+def validate_command_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, those with the table's own text too."""
     return _messages(spark, sf_dir).select("conv_id", "turn", commands.validate(F.col("command")).alias("verdict"))
 
 
