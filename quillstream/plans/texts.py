@@ -118,9 +118,22 @@ def parse_share_url_bot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls(spark, sf_dir).select("page_id", links.bot_key(F.col("u")).alias("sharing_key"))
 
 
+def _block_links(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", links.block_link(F.col("u")).alias("x")).select("page_id", "x.*")
+
+
 @query(f"with {_URLS} select page_id, case page_id % 8 when 7 then 'https://example.com:8080' else 'https://example.com' end as base_url, case page_id % 8 when 1 then 'key%20' || page_id else 'key-' || page_id end as sharing_key from lk where page_id % 8 in (1, 4, 5, 6, 7)")
 def parse_share_url_mini(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _urls(spark, sf_dir).where("page_id % 8 in (1, 4, 5, 6, 7)").select("page_id", links.block_link(F.col("u")).alias("x")).select("page_id", "x.*")
+    return _block_links(_urls(spark, sf_dir).where("page_id % 8 in (1, 4, 5, 6, 7)"))
+
+
+@query(rf"""with {_URLS}, pa as (select page_id, regexp_extract(trim(u), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)([?][^#]*)?(#.*)?$', ['scheme', 'host', 'path']) as p from lk),
+sg as (select page_id, lower(p.scheme) || '://' || lower(p.host) as base, [x for x in string_split(p.path, '/') if x <> ''] as parts, p.scheme <> '' as found from pa),
+ky as (select page_id, base, case when not found then null when len(parts) >= 2 and parts[1] in ('status', 's') then parts[2] when len(parts) = 1 then parts[1] end as key from sg)
+select page_id, case when key is not null then base end as base_url, key as sharing_key from ky""")
+def parse_share_url_mini_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; base_url and sharing_key are null for links that aren't of a known form."""
+    return _block_links(_urls(spark, sf_dir))
 
 
 @query(f"with {A.USERS_SQL} select id, case when id % 4 = 0 then '' else 'https://docs.example.com/?k=share-' || id || '&again=share-' || id end as url from us")

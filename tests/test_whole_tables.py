@@ -27,3 +27,17 @@ def test_every_message_is_parsed(spark, sf_dir, duck):
         assert rows[i, turn] == parsed(own)
         if i % (2 * n) < n:
             assert verdicts[i, turn] == texts._VALID[i % (2 * n)]
+
+
+def test_every_page_link_is_parsed(spark, sf_dir, duck):
+    rows = {r.page_id: (r.base_url, r.sharing_key) for r in catalogue.queries()["parse_share_url_mini_all"](spark, sf_dir).collect()}
+    pages = duck.execute("select page_id, url from pages").fetchall()
+    assert rows.keys() == {i for i, _ in pages}
+    for i, url in pages:
+        if i % 8 in (2, 3):
+            assert rows[i] == (None, None)
+        if i % 8 == 0:
+            scheme, host, path = re.match(r"(\w+)://([^/?#]+)([^?#]*)", url).groups()
+            parts = [x for x in path.split("/") if x]
+            key = parts[1] if len(parts) > 1 and parts[0] in ("s", "status") else parts[0] if len(parts) == 1 else None
+            assert rows[i] == (None if key is None else f"{scheme}://{host}".lower(), key)
