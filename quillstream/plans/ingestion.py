@@ -180,13 +180,25 @@ def reconnect_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).select("seq", client.stops_reconnecting(code).alias("web"), client.stops_reconnecting(code, block=True).alias("block"))
 
 
+def _config_errors(events: DataFrame) -> DataFrame:
+    k = F.col("k")
+    endpoint = F.when(k % 4 == 0, "").when(k % 4 == 1, "not a url").otherwise("https://example.com")
+    interval = F.when(k * 4 > 300, k * 4).otherwise(k % 40)
+    return events.select("seq", client.config_error(endpoint, interval, k % 3).alias("error"))
+
+
 @query(f"""with {A.EVENTS_SQL} select seq, case when k % 4 = 0 then '服务器地址不能为空' when k % 4 = 1 then '服务器地址格式无效' when k % 40 < 5 or k * 4 > 300 then '系统轮询间隔必须在 5-300 秒之间' when k % 3 < 1 then '活动轮询间隔必须在 5-60 秒之间' end as error from
   (select seq, k from ev) where k * 4 > 300 or k % 40 = k""")
 def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    endpoint = F.when(k % 4 == 0, "").when(k % 4 == 1, "not a url").otherwise("https://example.com")
-    interval = F.when(k * 4 > 300, k * 4).otherwise(k % 40)
-    return A.events(spark, sf_dir).where((k * 4 > 300) | (k % 40 == k)).select("seq", client.config_error(endpoint, interval, k % 3).alias("error"))
+    return _config_errors(A.events(spark, sf_dir).where((k * 4 > 300) | (k % 40 == k)))
+
+
+@query(f"""with {A.EVENTS_SQL}, cf as (select seq, k, case when k * 4 > 300 then k * 4 else k % 40 end as interval from ev)
+select seq, case when k % 4 = 0 then '服务器地址不能为空' when k % 4 = 1 then '服务器地址格式无效' when interval not between 5 and 300 then '系统轮询间隔必须在 5-300 秒之间' when k % 3 not between 1 and 300 then '活动轮询间隔必须在 5-60 秒之间' end as error from cf""")
+def config_validation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's configuration."""
+    return _config_errors(A.events(spark, sf_dir))
 
 
 @query(f"with {A.EVENTS_SQL} select user_id, count(*) as reports, max(arrival_ms) as last_ms from ev group by user_id")

@@ -235,6 +235,13 @@ def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", fmt.relative_time(F.col("system.ts"), F.lit(A.NOW_MS)).alias("text"))
 
 
+@query(f"""with {A.EVENTS_SQL}, ag as (select seq, system_ts, floor(({A.NOW_MS} - system_ts) / 1000) as s from ev)
+select seq, case when coalesce(system_ts, 0) = 0 then '暂无数据' when s >= 86400 then cast(floor(s / 86400) as bigint) || '天前' when s >= 3600 then cast(floor(s / 3600) as bigint) || '小时前' when s >= 60 then cast(floor(s / 60) as bigint) || '分钟前' else '刚刚' end as text from ag""")
+def relative_time_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, those after NOW too."""
+    return A.events(spark, sf_dir).select("seq", fmt.relative_time(F.col("system.ts"), F.lit(A.NOW_MS)).alias("text"))
+
+
 @query(f"with {A.EVENTS_SQL} select seq, case when battery is null then '未知' else cast(cast(floor(battery * 100 + 0.5) as bigint) as varchar) || '% (' || case when coalesce(charging, false) then '充电中' else '未充电' end || ')' end as text from ev")
 def battery_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).select("seq", fmt.battery_text(F.col("system.batteryPct"), F.col("system.charging")).alias("text"))
@@ -251,6 +258,13 @@ def count_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).where((s % 100 != 50) | (s < 1000)).select("seq", fmt.count_text(s).alias("text"))
 
 
+# printf rounds the exact binary value too, but a tie to the even digit. Of the values that end in 50 only 250 and 750 are ties in binary.
+@query(f"with {A.EVENTS_SQL} select seq, case when seq >= 1000 then printf('%.1f', (seq + case when seq % 500 = 250 then 1 else 0 end) / 1000) || 'k' else cast(seq as varchar) end as text from ev")
+def count_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, those half-way between two tenths too."""
+    return A.events(spark, sf_dir).select("seq", fmt.count_text(F.col("seq")).alias("text"))
+
+
 @query(f"with {A.EVENTS_SQL} select seq, cast(trunc(battery * 100) as int) as battery, cast(trunc(memory * 100) as int) as memory, k * 7 > 300 as idle, case when k * 7 >= 60 then (k * 7 // 60) || '分' else '' end || (k * 7 % 60) || '秒' as idle_text from ev")
 def client_percent_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     idle = F.col("k") * 7

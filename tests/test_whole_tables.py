@@ -1,9 +1,12 @@
 """The queries named _all answer every row of their tables."""
 
+import math
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 from quillstream.functions import commands
 from quillstream.plans import catalogue, texts
+from quillstream.sources import adapter
 
 
 def parsed(text):
@@ -41,3 +44,18 @@ def test_every_page_link_is_parsed(spark, sf_dir, duck):
             parts = [x for x in path.split("/") if x]
             key = parts[1] if len(parts) > 1 and parts[0] in ("s", "status") else parts[0] if len(parts) == 1 else None
             assert rows[i] == (None if key is None else f"{scheme}://{host}".lower(), key)
+
+
+def test_every_event_is_formatted_and_validated(spark, sf_dir):
+    queries = catalogue.queries()
+    text = {n: {r[0]: r[1] for r in queries[n](spark, sf_dir).collect()} for n in ("config_validation_all", "count_format_all", "relative_time_all")}
+    rows = adapter.events(spark, sf_dir).select("seq", "k", "system.ts").collect()
+    assert all(x.keys() == {r.seq for r in rows} for x in text.values())
+    for r in rows:
+        interval = r.k * 4 if r.k * 4 > 300 else r.k % 40
+        error = "服务器地址不能为空" if r.k % 4 == 0 else "服务器地址格式无效" if r.k % 4 == 1 else "系统轮询间隔必须在 5-300 秒之间" if not 5 <= interval <= 300 else "活动轮询间隔必须在 5-60 秒之间" if r.k % 3 == 0 else None
+        assert text["config_validation_all"][r.seq] == error
+        assert text["count_format_all"][r.seq] == (str(r.seq) if r.seq < 1000 else f"{Decimal(r.seq / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)}k")
+        seconds = None if not r.ts else math.floor((adapter.NOW_MS - r.ts) / 1000)
+        age = "暂无数据" if seconds is None else next((f"{seconds // size}{unit}" for size, unit in ((86400, "天前"), (3600, "小时前"), (60, "分钟前")) if seconds >= size), "刚刚")
+        assert text["relative_time_all"][r.seq] == age
