@@ -222,6 +222,17 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subscribed(e.select("seq", "user_id"), subscriptions).where("seq = own").select("seq", "subscriber_id", "user_id")
 
 
+@query(f"with {A.EVENTS_SQL}, {A.USERS_SQL}, sb as (select id as user_id, unnest(range(10 * id, 10 * id + id % 4)) as subscriber_id from us) select seq, subscriber_id, user_id from ev join sb using (user_id)")
+def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change delivered to each of its user's subscribers, of whom there are up to three."""
+    from ..streaming.ingest import subscribed
+
+    i = F.col("id")
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda n: n < i % 4)
+    subscriptions = A.users(spark, sf_dir).select(i.alias("user_id"), F.explode(numbers).alias("n")).select("user_id", (F.col("user_id") * 10 + F.col("n")).alias("subscriber_id"))
+    return subscribed(A.events(spark, sf_dir).select("seq", "user_id"), subscriptions).select("seq", "subscriber_id", "user_id")
+
+
 @query(f"with {A.EVENTS_SQL} select seq, case when k % 2 = 0 then cast(0.5 as double) end as battery, title, label, ms as last_ts from ev")
 def loose_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots from JSON in which some fields are of another type."""

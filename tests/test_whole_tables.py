@@ -59,3 +59,10 @@ def test_every_event_is_formatted_and_validated(spark, sf_dir):
         seconds = None if not r.ts else math.floor((adapter.NOW_MS - r.ts) / 1000)
         age = "暂无数据" if seconds is None else next((f"{seconds // size}{unit}" for size, unit in ((86400, "天前"), (3600, "小时前"), (60, "分钟前")) if seconds >= size), "刚刚")
         assert text["relative_time_all"][r.seq] == age
+
+
+def test_every_delivery_is_returned(spark, sf_dir, duck):
+    found = sorted((r.seq, r.subscriber_id, r.user_id) for r in catalogue.queries()["fan_out_all"](spark, sf_dir).collect())
+    events = duck.execute("select event_id, user_id from events").fetchall()
+    assert found == sorted((seq, 10 * user + n, user) for seq, user in events for n in range(user % 4))
+    assert len(found) > len({seq for seq, _, _ in found})
