@@ -6,7 +6,8 @@ cut to windows, and with foreign words around them) against decoys, shuffled tem
 sample of corpus paragraphs (SAMPLE documents with the least hashed ids, SAMPLE_WORDS words each).
 An L1 penalty keeps it sparse; a temperature is fitted on held-out windows, and UNKNOWN wins unless a family
 reaches CONFIDENT. A prediction is confirmed if the paragraph covers at least COVERED of the bigrams
-of one of the family's templates.
+of one of the family's templates. A notice that a line or paragraph break cuts is confirmed as a run of
+neighbouring paragraphs, if a window of about the template's length covers as much and is classified alike.
 
 Scanning explodes word triples and joins them with the model's n-grams, whose number is bounded by the
 templates and the bounded training sample; what matches nothing is dropped before any shuffle, so only sums
@@ -231,16 +232,88 @@ def _paragraphs(text: Column) -> Column:
 
 
 def _triples(df: DataFrame) -> DataFrame:
-    """Each row's paragraph as (a, b, c) for each word that another follows; b is empty for a sentinel."""
-    w = F.col("_words")
-    follow = lambda k: F.slice(w, k, F.greatest(F.size(w), F.lit(1)))
-    zipped = F.arrays_zip(w.alias("a"), follow(2).alias("b"), follow(3).alias("c"))
-    return df.select("_row", "doc_id", "_place", F.inline(zipped).alias("a", "b", "c")).where("b is not null")
+    """Each row's text as (a, b, c) for each word that another follows, with the places of the three and the first one's position."""
+    parts = F.transform(_paragraphs(F.col("_text")), lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    d = df.select("_row", "doc_id", parts.alias("_parts"))
+    # Two empty words in front bring every document through the join.
+    w = F.concat(F.array(F.lit(""), F.lit("")), F.flatten("_parts")).alias("_words")
+    at = F.concat(F.array(F.lit(0), F.lit(0)), F.flatten(F.transform("_parts", lambda x, i: F.array_repeat(i, F.size(x))))).alias("_at")
+    d = d.select("_row", "doc_id", w, at)
+    follow = lambda x, k: F.slice(x, k, F.size(x))
+    zipped = F.arrays_zip("_words", follow("_words", 2), follow("_words", 3), "_at", follow("_at", 2), follow("_at", 3))
+    return d.select("_row", "doc_id", F.posexplode(zipped).alias("_pos", "_z")).select("_row", "doc_id", "_pos", *(F.col("_z").getField(str(k) if k not in (0, 3) else ("_words", "_at")[k // 3]).alias(x) for k, x in enumerate(("a", "b", "c", "_place", "_next", "_last")))).where("b is not null")
+
+
+def _numbers(values: list[float]) -> Column:
+    """A literal array of doubles."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _runs(p: DataFrame, model: Classifier, grams: list[list[float]], tris: list[list[float]], sizes: list[int], lengths: list[int], families: list[int]) -> DataFrame:
+    """p with _runs: confirmed notices that only several neighbouring paragraphs cover together.
+
+    _hits are a document's n-grams by position. For each template that they cover, every hit opens a window
+    of the template's length and some more; the window of the best coverage among those that are less than that
+    length away counts, if the classifier finds the template's family in it. A window opens at the last place
+    of its first n-gram. All is done inside the row, with slices as long as a window at most.
+    """
+    n = len(FAMILIES)
+    number = lambda values, t: F.get(F.array(*map(F.lit, values)), t)
+    spans = [x + x // 4 + 8 for x in lengths]
+    own = lambda hits, t: F.filter(hits, lambda h: F.array_contains(h["templates"], t))
+    covered = lambda t: F.size(F.array_distinct(F.transform(own(F.col("_hits"), t), lambda h: h["gram"]))) / number(sizes, t) >= COVERED
+    several = F.array_max(F.transform("_hits", lambda h: h["last"])) > F.array_min(F.transform("_hits", lambda h: h["place"]))
+    p = p.withColumn("_templates", F.when(several, F.filter(F.sequence(F.lit(0), F.lit(len(sizes) - 1)), covered)))
+
+    def windows(t: Column, hits: Column) -> Column:
+        span = number(spans, t)
+
+        def window(h: Column, i: Column) -> Column:
+            rest = F.filter(F.slice(hits, i + 2, span), lambda x: x["pos"] < h["pos"] + span)
+            new = F.filter(rest, lambda x: x["first"] < h["pos"])
+            share = (F.size(F.array_distinct(F.transform(rest, lambda x: x["gram"]))) + 1) / number(sizes, t)
+            again = F.exists(rest, lambda x: x["gram"] == h["gram"])
+            end = F.when(F.size(new) > 0, F.get(new, F.size(new) - 1)).otherwise(h)
+            return F.struct(h["pos"].alias("pos"), h["at"].alias("at"), end["pos"].alias("end"), h["place"].alias("place"), end["last"].alias("last"), F.when(again, 0.0).otherwise(share).alias("coverage"), t.alias("t"))
+
+        return F.filter(F.transform(hits, window), lambda x: x["coverage"] >= COVERED)
+
+    def best(t: Column, found: Column) -> Column:
+        reach = number(lengths, t)
+        near = lambda i: F.slice(found, F.greatest(i + 1 - reach, F.lit(1)), reach * 2 + 1)
+        better = lambda y, x: (F.abs(y["pos"] - x["pos"]) < reach) & ((y["coverage"] > x["coverage"]) | ((y["coverage"] == x["coverage"]) & (y["pos"] < x["pos"])))
+        return F.filter(found, lambda x, i: ~F.exists(near(i), lambda y: better(y, x)))
+
+    # where the same n-gram stood before: a window ends at the last of its n-grams that is new in it
+    numbered = F.transform("_hits", lambda h, i: F.struct(h["pos"].alias("pos"), h["gram"].alias("gram"), h["tri"].alias("tri"), h["place"].alias("place"), h["last"].alias("last"), h["templates"].alias("templates"), i.alias("at"), F.coalesce(F.array_max(F.transform(F.filter(F.slice("_hits", F.greatest(i + 1 - max(spans), F.lit(1)), F.least(i, F.lit(max(spans)))), lambda y: y["gram"] == h["gram"]), lambda y: y["pos"])), F.lit(-1)).alias("first")))
+    p = p.withColumn("_numbered", F.when(F.size("_templates") > 0, numbered))
+    each = F.transform("_templates", lambda t: F.struct(t.alias("t"), own(F.col("_numbered"), t).alias("hits")))
+    p = p.withColumn("_each", F.when(F.size("_numbered") > 0, each))
+    p = p.withColumn("_windows", F.when(F.size("_each") > 0, F.transform("_each", lambda x: F.struct(x["t"].alias("t"), windows(x["t"], x["hits"]).alias("found")))))
+    p = p.withColumn("_kept", F.when(F.size("_windows") > 0, F.filter(F.flatten(F.transform("_windows", lambda x: best(x["t"], x["found"]))), lambda x: x["last"] > x["place"])))
+    one, three = _numbers([v for g in grams for v in g]), _numbers([v for g in tris for v in g])
+
+    def scored(x: Column) -> Column:
+        inside = F.filter(F.slice("_numbered", x["at"] + 1, x["end"] - x["pos"] + 1), lambda h: h["pos"] <= x["end"])
+        weight = lambda h, c: F.get(one, h["gram"] * n + c) + F.coalesce(F.get(three, h["tri"] * n + c), F.lit(0.0))
+        total = lambda c: F.aggregate(inside, F.lit(float(model.bias[c])), lambda s, h: s + weight(h, c))
+        z = F.array(*map(total, range(n)))
+        return F.struct(x.alias("x"), z.alias("z"))
+
+    p = p.withColumn("_scored", F.when(F.size("_kept") > 0, F.when(F.size("_numbered") > 0, F.transform("_kept", scored))))
+    probability = lambda y: 1 / F.aggregate(y["z"], F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max(y["z"])))
+    sure = F.filter("_scored", lambda y: (F.array_position(y["z"], F.array_max(y["z"])) - 1 == number(families, y["x"]["t"])) & (probability(y) >= CONFIDENT))
+    run = lambda y: F.struct(y["x"]["place"].alias("paragraph"), y["x"]["last"].alias("last"), F.get(F.array(*map(F.lit, FAMILIES)), number(families, y["x"]["t"])).alias("family"), probability(y).alias("probability"), y["x"]["coverage"].alias("coverage"), F.lit(True).alias("confirmed"))
+    p = p.withColumn("_sure", F.when(F.size("_scored") > 0, F.sort_array(F.transform(sure, run))))
+    # one paragraph that is confirmed alone, or a longer run of the family, stands for a run
+    alone = lambda r: F.exists("_ones", lambda f: f["confirmed"] & (f["family"] == r["family"]) & (f["paragraph"] >= r["paragraph"]) & (f["paragraph"] <= r["last"]))
+    around = lambda r, i: F.exists(F.slice("_sure", F.greatest(i + 1 - max(spans), F.lit(1)), 2 * max(spans)), lambda y: (y["family"] == r["family"]) & (y["paragraph"] <= r["paragraph"]) & (y["last"] >= r["last"]) & ((y["last"] - y["paragraph"] > r["last"] - r["paragraph"]) | (y["coverage"] > r["coverage"])))
+    return p.withColumn("_runs", F.when(F.size("_sure") > 0, F.when(F.size("_ones") >= 0, F.filter("_sure", lambda r, i: ~alone(r) & ~around(r, i)))))
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, family, probability, paragraph (its number), coverage (of the best template), confirmed; and
-    found: the same of every predicted paragraph, in the order of the text."""
+    """doc_id, family, probability, paragraph and last (numbers, unequal for a run), coverage (of the best template), confirmed; and
+    found: the same of every predicted paragraph and every confirmed run of paragraphs, in the order of the text."""
     spark = docs.sparkSession
     n = len(FAMILIES)
     zero = [0.0] * n
@@ -256,22 +329,21 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
             of_template.setdefault(g, set()).add(i)
     two = {g: two.get(g, zero) for g in two.keys() | of_template.keys()} | {("", ""): zero}
     pairs = spark.createDataFrame([(*g, v, sorted(of_template.get(g, ())), i) for i, (g, v) in enumerate(sorted(two.items()))], "a string, b string, w array<double>, templates array<int>, gram int")
-    triples = spark.createDataFrame([(*g, v.tolist()) for g, v in sorted(model.weights.items()) if len(g) == 3] or [("", "", "", zero)], "a string, b string, c string, w3 array<double>")
+    three = sorted((g, v.tolist()) for g, v in model.weights.items() if len(g) == 3) or [(("", "", ""), zero)]
+    triples = spark.createDataFrame([(*g, v, i) for i, (g, v) in enumerate(three)], "a string, b string, c string, w3 array<double>, tri int")
 
     text = whole_text()
     d = docs.select("doc_id", text.alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    d = d.select("doc_id", "_row", F.posexplode(_paragraphs(F.col("_text"))).alias("_place", "_paragraph"))
-    found = F.regexp_extract_all(F.lower("_paragraph"), F.lit(WORD), F.lit(0))
-    # Two empty words in front of a document's first paragraph bring every document through the join.
-    d = d.select("_row", "doc_id", "_place", F.when(F.col("_place") == 0, F.concat(F.array(F.lit(""), F.lit("")), found)).otherwise(found).alias("_words"))
     hits = _triples(d).join(F.broadcast(pairs), ["a", "b"]).join(F.broadcast(triples), ["a", "b", "c"], "left")
-    sums = [F.sum(F.get("w", F.lit(i)) + F.coalesce(F.get("w3", F.lit(i)), F.lit(0.0))).alias(f"z{i}") for i in range(n)]
+    inner, inner3 = F.col("_place") == F.col("_next"), F.col("_place") == F.col("_last")
+    sums = [F.sum(F.when(inner, F.get("w", F.lit(i)) + F.when(inner3, F.coalesce(F.get("w3", F.lit(i)), F.lit(0.0))).otherwise(0.0)).otherwise(0.0)).alias(f"z{i}") for i in range(n)]
     z = [F.col(f"z{i}") + float(model.bias[i]) for i in range(n)]
     # Distinct bigrams of the templates: at most as many as the templates have.
-    seen = F.collect_set(F.when(F.size("templates") > 0, F.struct("gram", "templates"))).alias("seen")
-    by_paragraph = hits.groupBy("_row", "doc_id", "_place").agg(*sums, seen)
+    seen = F.collect_set(F.when((F.size("templates") > 0) & inner, F.struct("gram", "templates"))).alias("seen")
+    hit = F.struct(F.col("_pos").alias("pos"), "gram", F.coalesce("tri", F.lit(-1)).alias("tri"), F.col("_place").alias("place"), F.col("_next").alias("last"), "templates")
+    by_paragraph = hits.groupBy("_row", "doc_id", "_place").agg(*sums, seen, F.collect_list(F.when(F.size("templates") > 0, hit)).alias("_hits"))
     top = F.greatest(*z)
-    p = by_paragraph.select("_row", "doc_id", "_place", "seen", F.array(*(F.exp(x - top) for x in z)).alias("e"))
+    p = by_paragraph.select("_row", "doc_id", "_place", "seen", "_hits", F.array(*(F.exp(x - top) for x in z)).alias("e"))
     p = p.withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, x: s + x)).withColumn("best", F.array_position("e", F.array_max("e")).cast("int") - 1)
     p = p.withColumn("probability", F.array_max("e") / F.col("total"))
     predicted = (F.col("best") < n - 1) & (F.col("probability") >= CONFIDENT)
@@ -282,11 +354,15 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     p = p.withColumn("family", F.when(predicted, F.get(names, F.col("best"))))
     p = p.withColumn("coverage", F.when(predicted, F.array_max(F.transform(F.get(own, F.col("best")), share))).otherwise(0.0))
     p = p.withColumn("probability", F.when(predicted, F.col("probability")).otherwise(0.0)).withColumn("confirmed", F.col("coverage") >= COVERED)
-    order = F.struct("confirmed", "probability", (-F.col("_place")).alias("before"))
-    best = F.max_by(F.struct("family", "probability", F.when(F.col("family").isNotNull(), F.col("_place")).alias("paragraph"), "coverage", "confirmed"), order)
-    one = F.struct(F.col("_place").alias("paragraph"), "family", "probability", "coverage", "confirmed")
-    found = F.sort_array(F.collect_list(F.when(F.col("family").isNotNull(), one)))
-    return p.groupBy("_row", "doc_id").agg(best.alias("x"), found.alias("found")).select("doc_id", "x.*", "found")
+    one = F.struct(F.col("_place").alias("paragraph"), F.col("_place").alias("last"), "family", "probability", "coverage", "confirmed")
+    p = p.groupBy("_row", "doc_id").agg(F.collect_list(F.when(F.col("family").isNotNull(), one)).alias("_ones"), F.sort_array(F.flatten(F.collect_list("_hits"))).alias("_hits"))
+    sizes_in_words = [len(words(TEMPLATES[f][t])) for f, t in at]
+    p = _runs(p, model, [v for _, v in sorted(two.items())], [v for _, v in three], sizes, sizes_in_words, [FAMILIES.index(f) for f, _ in at])
+    p = p.select("doc_id", F.sort_array(F.concat("_ones", F.coalesce("_runs", F.slice("_ones", 1, 0)))).alias("found"))
+    order = lambda x: F.struct(x["confirmed"].alias("a"), x["probability"].alias("b"), (-x["paragraph"]).alias("c"), x.alias("x"))
+    p = p.withColumn("best", F.array_max(F.transform("found", order))["x"])
+    none = {"probability": F.lit(0.0), "coverage": F.lit(0.0), "confirmed": F.lit(False)}
+    return p.select("doc_id", *(F.coalesce(F.col("best")[c], none.get(c, F.lit(None))).alias(c) for c in ("family", "probability", "paragraph", "last", "coverage", "confirmed")), "found")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -92,3 +93,21 @@ def test_every_predicted_paragraph_of_the_documents(spark, model, sf_dir):
     rows = {r.doc_id: r for r in lic.scan(docs, model).collect()}
     for d in docs.collect():
         assert {(x.family, x.confirmed) for x in rows[d.doc_id].found} == expected(model, d.text or ""), d.doc_id
+
+
+def wrapped(text, width=60):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_notices_cut_by_breaks_are_confirmed(spark, model):
+    t = lic.TEMPLATES
+    mid = t["bsd"][0].index("Redistributions of source")
+    texts = [
+        (1, "Intro\n" + wrapped(t["mit"][2]) + "\nEnd"), (2, wrapped(t["gpl-2.0"][0])), (3, wrapped(t["gpl-3.0"][1], 40)),
+        (4, "Copyright\n\n" + t["bsd"][0][:mid] + "\n\n" + t["bsd"][0][mid:] + "\n\nEnd"), (5, wrapped(t["mit"][2]) + "\n" + wrapped(t["isc"][0])),
+        (6, wrapped("of the software and to permit persons to whom the work is given, this is free of charge " * 9)),
+    ]
+    rows = {r.doc_id: r for r in lic.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    sure = {i: [x.family for x in r.found if x.confirmed] for i, r in rows.items()}
+    assert sure == {1: ["mit"], 2: ["gpl-2.0"], 3: ["gpl-3.0"], 4: ["bsd"], 5: ["mit", "isc"], 6: []}
+    assert (rows[1].family, rows[1].paragraph, rows[4].paragraph) == ("mit", 1, 1) and rows[1].found[-1].last >= 5
