@@ -1,6 +1,6 @@
 """Ordered folds that need a state machine: the now-playing stream and the rate limit (STR7, STR11).
 
-The machines are plain Python and serve batch (applyInPandas) and streaming alike.
+The machines are plain Python and serve batch (ordered Arrow batches) and streaming alike.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+REPORT_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.string())
 SONG = ("title", "artist", "album", "playing", "bundle_id", "artwork")
 
 
@@ -88,20 +90,32 @@ class RateLimit:
         return True
 
 
+REPORT = "user_id long, seq long, stopped boolean, title string, artist string, playing boolean, artwork string"
+
+
 def now_playing(records: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """records (user_id, seq, diff, title, artist, album, playing, bundle_id, artwork) → what is reported after
-    each one that reports: user_id, seq, stopped, title, artist, playing, artwork."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        machine, rows = NowPlaying(allowed), []
-        for r in group.sort_values("seq").to_dict("records"):
-            r = {k: None if v is None or v != v else v for k, v in r.items()}
-            out = machine.feed(bool(r["diff"]), r)
-            if out is not None:
-                rows.append((r["user_id"], r["seq"], not out, out.get("title"), out.get("artist"), out.get("playing"), out.get("artwork")))
-        return pd.DataFrame(rows, columns=["user_id", "seq", "stopped", "title", "artist", "playing", "artwork"])
-
-    return records.groupBy("user_id").applyInPandas(fold, "user_id long, seq long, stopped boolean, title string, artist string, playing boolean, artwork string")
+    each one that reports: user_id, seq, stopped, title, artist, playing, artwork.
+
+    A user's records stream through in batches, in order; the machine is all that is held.
+    """
+    names = [x.split()[0] for x in REPORT.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, machine = None, None
+        for batch in batches:
+            rows: list[list] = [[] for _ in names]
+            for u, seq, diff, *fields in zip(*(batch.column(c).to_pylist() for c in ("user_id", "seq", "diff", *SONG)), strict=True):
+                if machine is None or u != user:
+                    user, machine = u, NowPlaying(allowed)
+                out = machine.feed(bool(diff), dict(zip(SONG, fields, strict=True)))
+                if out is not None:
+                    for column, value in zip(rows, (u, seq, not out, *(out.get(k) for k in names[3:])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, REPORT_TYPES, strict=True)], names)
+
+    ordered = records.select("user_id", "seq", "diff", *SONG).repartition("user_id").sortWithinPartitions("user_id", "seq")
+    return ordered.mapInArrow(fold, REPORT)
 
 
 def rate_limited(calls: DataFrame, window_ms: int, most: int) -> DataFrame:

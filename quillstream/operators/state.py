@@ -5,8 +5,12 @@ Order is always `seq` or the arrival clock, never the modules' own times.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from . import access
@@ -26,27 +30,42 @@ def with_snapshot(events: DataFrame, now_ms: int) -> DataFrame:
     return events.withColumn("snapshot", F.struct(*MODULES, last_update_ts(now_ms).alias("lastUpdateTs")))
 
 
-def deduplicated(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """events with `accepted`. A key counts for a user for ttl_ms from its last acceptance, which duplicates
-    don't extend; events without a key (null or empty) are always accepted.
+def first_in_time(rows: DataFrame, keys: tuple[str, ...], time: str, order: str, ttl: str, out: str, keyed: Column | None = None) -> DataFrame:
+    """rows with boolean `out`: whether a row is the first of its keys for `ttl` (a column, as `time`) since the last such one.
 
-    A gap of ttl_ms between arrivals starts anew whatever came before, so the greedy fold only runs over
-    runs of arrivals without such a gap, not over all events of a key.
+    Others don't extend the time; where `keyed` is false a row is always a first. Rows stream through in Arrow batches, in the
+    order of keys, time and `order`, whole and untouched: one exchange, and of a key only the last first time is held.
     """
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = F.lit(True) if keyed is None else keyed
+    # Rows without a key need no order: they are dealt anywhere.
+    d = rows.select(F.struct("*").alias("row"), keyed.alias("_keyed"), *(F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)), F.col(time).cast("long").alias("_time"), F.col(ttl).cast("long").alias("_ttl"), F.col(order).alias("_order"))
+    d = d.repartition(*names, F.when(~F.col("_keyed"), F.col("_order"))).sortWithinPartitions(*names, "_time", "_order")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, until = None, None  # the key of the row before, and until when it counts
+        for batch in batches:
+            of = {n: batch.column(n) for n in ("_keyed", *names, "_time", "_ttl")}
+            marks = []
+            for is_keyed, t, ttl_ms, *key in zip(*(of[n].to_pylist() for n in ("_keyed", "_time", "_ttl", *names)), strict=True):
+                first = not is_keyed or key != before or until is None or t is None or t >= until
+                if is_keyed:
+                    if first:
+                        until = None if t is None else t + ttl_ms
+                    before = key
+                marks.append(first)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(marks, pa.bool_())], ["row", "first"])
+
+    schema = T.StructType([T.StructField("row", d.schema["row"].dataType), T.StructField("first", T.BooleanType())])
+    return d.mapInArrow(decide, schema).select("row.*", F.col("first").alias(out))
+
+
+def deduplicated(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """events with `accepted`. A key counts for a user for ttl_ms from its last acceptance, which duplicates
+    don't extend; events without a key (null or empty) are always accepted."""
     keyed = F.coalesce(F.col("idempotency_key"), F.lit("")) != ""
-    within = W.Window.partitionBy("user_id", "idempotency_key").orderBy("arrival_ms", "seq")
-    gap = F.col("arrival_ms") - F.lag("arrival_ms").over(within)
-    run = F.sum((gap.isNull() | (gap >= ttl_ms)).cast("long")).over(within)
-    runs = events.where(keyed).withColumn("run", run)
-    arrivals = runs.groupBy("user_id", "idempotency_key", "run").agg(F.sort_array(F.collect_list(F.struct("arrival_ms", "seq"))).alias("x"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("seqs"))
-
-    def step(state: Column, x: Column) -> Column:
-        new = state["last"].isNull() | (x["arrival_ms"] - state["last"] >= ttl_ms)
-        return F.when(new, F.struct(x["arrival_ms"].alias("last"), F.concat(state["seqs"], F.array(x["seq"])).alias("seqs"))).otherwise(state)
-
-    accepted = arrivals.select(F.explode(F.aggregate("x", start, step)["seqs"]).alias("seq")).withColumn("first", F.lit(True))
-    return events.join(accepted, "seq", "left").withColumn("accepted", ~keyed | F.coalesce("first", F.lit(False))).drop("first")
+    found = first_in_time(events.withColumn("_ttl_ms", F.lit(ttl_ms)), ("user_id", "idempotency_key"), "arrival_ms", "seq", "_ttl_ms", "accepted", keyed)
+    return found.drop("_ttl_ms")
 
 
 def counters(decided: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -77,3 +77,33 @@ def test_revoked_users_lose_their_history(spark):
     of = lambda *x: spark.createDataFrame(list(x), "user_id long, authorizedMusicStats boolean")
     kept = retention.keep_authorized_history(history, of((1, True), (2, True), (3, False)), of((1, False), (2, True), (3, False)))
     assert sorted(r.user_id for r in kept.collect()) == [2, 3]
+
+
+def test_rows_without_a_time_are_never_deleted(spark):
+    from datetime import UTC, datetime
+
+    rows = spark.createDataFrame([(1, None), (2, datetime(2023, 12, 31, 15, 59, 59)), (3, datetime(2023, 12, 31, 16)), (4, datetime(2022, 12, 31, 15)), (5, datetime(2022, 12, 31, 16))], "id int, recorded_at timestamp_ntz")
+    assert sorted(r.id for r in retention.keep_history(rows, 2024).collect()) == [1, 3, 4]
+    assert sorted(r.id for r in retention.keep_history(rows, 2024, "UTC").collect()) == [1, 4, 5]
+    named = lambda c: rows.withColumnRenamed("recorded_at", c)
+    assert sorted(r.id for r in retention.keep_current(named("updated_at"), datetime(2024, 1, 1, 15, 59, 59, tzinfo=UTC)).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in retention.keep_covers(named("created_at"), datetime(2023, 12, 31, 16, tzinfo=UTC)).collect()) == [1, 3]
+    plan = retention.keep_history(rows, 2024)._jdf.queryExecution().optimizedPlan().toString()
+    assert "year(" not in plan.lower()
+
+
+def test_firsts_by_a_time_to_live_of_their_own(spark):
+    """Brute force over several keys, times to live and ties; other columns pass through untouched."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, draw.randint(0, 200), draw.choice("ab"), draw.choice([5, 20]), {"x": i}) for i in range(400)]
+    rows = [(i, t, k, 5 if k == "a" else 20, d) for i, t, k, _, d in rows]
+    df = spark.createDataFrame(rows, "n int, t long, key string, ttl long, extra map<string,int>").repartition(5)
+    found = {r.n: (r["first"], r.extra) for r in state.first_in_time(df, ("key",), "t", "n", "ttl", "first").collect()}
+    until = {}
+    for i, t, k, ttl, d in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        first = k not in until or t >= until[k]
+        if first:
+            until[k] = t + ttl
+        assert found[i] == (first, d)
