@@ -144,10 +144,30 @@ def report_totals(reports: DataFrame) -> DataFrame:
 
 
 def socket_reply(kind: Column) -> Column:
-    """What the server answers to a message type: 1 (ping) with PONG, 3 (snapshot) with the current state."""
+    """What the server answers to a message: PING with PONG, SNAPSHOT with the current state; others are only logged."""
     return F.when(kind == "PING", "PONG").when(kind == "SNAPSHOT", "SNAPSHOT").otherwise("IGNORED")
 
 
+HEARTBEAT_MS, READ_TIMEOUT_MS = 10_000, 60_000
+
+
+def socket_sessions(messages: DataFrame) -> DataFrame:
+    """messages (connection_id, seq, at_ms, kind) with `reply`, `heartbeats` and `closed`.
+
+    The first message of a connection finds the welcome (a PONG) sent. The server sends a heartbeat every HEARTBEAT_MS:
+    `heartbeats` counts those since the message before. A connection that is silent for more than READ_TIMEOUT_MS is closed:
+    what comes after has no reply, nor are heartbeats sent.
+    """
+    w = W.Window.partitionBy("connection_id").orderBy("at_ms", "seq")
+    opened = F.first("at_ms").over(w)
+    before = F.lag("at_ms").over(w)
+    m = messages.withColumns({"_late": F.coalesce(F.col("at_ms") - before > READ_TIMEOUT_MS, F.lit(False)), "_sent": F.floor((F.col("at_ms") - opened) / HEARTBEAT_MS), "_welcome": before.isNull()})
+    m = m.withColumns({"closed": F.max("_late").over(w), "_beats": F.col("_sent") - F.coalesce(F.lag("_sent").over(w), F.lit(0))})
+    reply = F.when(F.col("closed"), F.lit(None)).when(F.col("_welcome"), F.concat(F.lit("PONG,"), socket_reply(F.col("kind")))).otherwise(socket_reply(F.col("kind")))
+    beats = F.when(F.col("closed"), 0).otherwise(F.col("_beats")).cast("long")
+    return m.withColumns({"reply": reply, "heartbeats": beats}).drop("_late", "_sent", "_welcome", "_beats")
+
+
 def subscriber_gauges(subscriptions: DataFrame) -> DataFrame:
     """(users, clients): how many users are watched, and by how many clients (AGG10)."""
     return subscriptions.agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("clients"))

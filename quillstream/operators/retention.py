@@ -3,27 +3,47 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import covers as media
-from .windows import ntz
+from .windows import DEFAULT_ZONE, ntz
+
+
+def _not_before(column: str, time: datetime) -> Column:
+    """What a deletion of rows before `time` leaves; one without a time isn't before it."""
+    return F.col(column).isNull() | (F.col(column) >= ntz(time))
 
 
 def keep_current(current: DataFrame, now: datetime) -> DataFrame:
     """States updated within the last 24 hours."""
-    return current.where(F.col("updated_at") >= ntz(now - timedelta(hours=24)))
+    return current.where(_not_before("updated_at", now - timedelta(hours=24)))
+
 
+def keep_history(history: DataFrame, year: int, tz: str = DEFAULT_ZONE) -> DataFrame:
+    """History without the calendar year before `year` in the zone; older years and rows without a time stay."""
+    first, end = (datetime(y, 1, 1, tzinfo=ZoneInfo(tz)) for y in (year - 1, year))
+    return history.where((F.col("recorded_at") < ntz(first)) | _not_before("recorded_at", end))
 
-def keep_history(history: DataFrame, year: int) -> DataFrame:
-    """History without the calendar year before `year`; older years stay."""
-    return history.where(F.year("recorded_at") != year - 1)
 
+def keep_covers(covers: DataFrame, cutoff: datetime, accesses: DataFrame | None = None) -> DataFrame:
+    """Covers that aren't unused. accesses: (cover_hash, last_access), the time as text; where that can be read (RFC 3339)
+    it decides, else, as for Unix seconds, which record_access() writes, the time of creation."""
+    if accesses is None:
+        return covers.where(_not_before("created_at", cutoff))
+    last = accesses.groupBy("cover_hash").agg(F.max("last_access").alias("_last"))
+    written = F.when(F.col("_last").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.]\d+)?(Z|[+-]\d\d:\d\d)$"), F.col("_last"))
+    used = F.to_utc_timestamp(F.try_to_timestamp(written), F.current_timezone()).cast("timestamp_ntz")
+    both = covers.join(last, "cover_hash", "left").withColumn("_used", F.coalesce(used, F.col("created_at")))
+    return both.where(_not_before("_used", cutoff)).drop("_last", "_used")
 
-def keep_covers(covers: DataFrame, cutoff: datetime) -> DataFrame:
-    """Covers that aren't unused. Access times are never readable, so the creation time decides."""
-    return covers.where(F.col("created_at") >= ntz(cutoff))
+
+def record_access(hashes: DataFrame, covers: DataFrame, cached: DataFrame, now: datetime) -> DataFrame:
+    """(cover_hash, last_access) that reading the asked hashes writes: of stored covers that aren't cached, Unix seconds."""
+    read = hashes.select("cover_hash").distinct().join(covers.select("cover_hash"), "cover_hash", "left_semi")
+    return read.join(cached.select("cover_hash"), "cover_hash", "left_anti").withColumn("last_access", F.lit(str(int(now.timestamp()))))
 
 
 def keep_authorized_history(history: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -74,12 +94,17 @@ def exists(hashes: DataFrame, covers: DataFrame) -> DataFrame:
 
 def new_user(open_id: Column) -> list[Column]:
     """Columns of a new user: random keys, public, not counted (SNK6)."""
-    return [open_id.alias("open_id"), F.sha2(F.uuid(), 256).alias("secret_key"), F.replace(F.uuid(), F.lit("-")).alias("sharing_key"), F.lit(1).cast("short").alias("status"), F.lit(True).alias("publicEnabled"), F.lit(False).alias("authorizedMusicStats")]
+    return [open_id.alias("open_id"), new_key("secret_key").alias("secret_key"), new_key("sharing_key").alias("sharing_key"), F.lit(1).cast("short").alias("status"), F.lit(True).alias("publicEnabled"), F.lit(False).alias("authorizedMusicStats")]
+
+
+def new_key(column: str) -> Column:
+    """A random key: secret ones are longer."""
+    return F.sha2(F.uuid(), 256) if column == "secret_key" else F.replace(F.uuid(), F.lit("-"))
 
 
 def rotated(users: DataFrame, column: str) -> DataFrame:
     """users with a fresh random key in `column` (SNK8)."""
-    return users.withColumn(column, F.replace(F.uuid(), F.lit("-")))
+    return users.withColumn(column, new_key(column))
 
 
 def stored_covers(hashes: DataFrame, covers: DataFrame) -> DataFrame:

@@ -78,10 +78,11 @@ def retain_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 _YEARS = "recorded_at - interval (k % 3) year"
 
 
-@query(f"with {A.EVENTS_SQL} select seq as id, {_YEARS} as recorded_at from ev where year({_YEARS}) <> 2023")
+@query(f"with {A.EVENTS_SQL} select seq as id, case when k <> 50 then {_YEARS} end as recorded_at from ev where k = 50 or {_YEARS} < timestamp '2022-12-31 16:00:00' or {_YEARS} >= timestamp '2023-12-31 16:00:00'")
 def retain_history_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.events(spark, sf_dir).select(F.col("seq").alias("id"), (F.col("recorded_at") - F.make_ym_interval(F.col("k") % 3)).alias("recorded_at"))
-    return retention.keep_history(e, 2024)
+    """The year ends with that of the zone, eight hours before UTC's."""
+    e = A.events(spark, sf_dir).select(F.col("seq").alias("id"), F.when(F.col("k") != 50, F.col("recorded_at") - F.make_ym_interval(F.col("k") % 3)).alias("recorded_at"))
+    return retention.keep_history(e, 2024, "Asia/Shanghai")
 
 
 _COVERS_SQL = "cv as (select md5(text) as cover_hash, min(doc_id) as first_id, max(strlen(text)) as size from documents where text is not null group by 1), ca as (select *, timestamp '2024-01-01' + to_hours(cast(first_id % 720 as bigint)) as created_at from cv)"
@@ -93,6 +94,11 @@ def _covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("created_at", F.timestamp_add("HOUR", (F.col("first_id") % 720).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")))
 
 
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that are asked for; some aren't stored."""
+    return A.covers(spark, sf_dir).where("data is not null").select(F.when(F.col("doc_id") % 4 == 0, F.md5(F.col("doc_id").cast("string").cast("binary"))).otherwise(media.content_hash(F.col("data"))).alias("cover_hash")).distinct()
+
+
 @query(f"with {_COVERS_SQL} select cover_hash, first_id, size from cv")
 def cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _covers(spark, sf_dir).select("cover_hash", "first_id", "size")
@@ -106,8 +112,7 @@ def cover_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_COVERS_SQL}, w as (select distinct case when doc_id % 4 = 0 then md5(cast(doc_id as varchar)) else md5(text) end as cover_hash from documents where text is not null) select w.cover_hash, cv.cover_hash is not null as found from w left join cv using (cover_hash)")
 def cover_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = A.covers(spark, sf_dir).where("data is not null").select(F.when(F.col("doc_id") % 4 == 0, F.md5(F.col("doc_id").cast("string").cast("binary"))).otherwise(media.content_hash(F.col("data"))).alias("cover_hash")).distinct()
-    return retention.exists(wanted, _covers(spark, sf_dir))
+    return retention.exists(_wanted(spark, sf_dir), _covers(spark, sf_dir))
 
 
 @query(f"with {_COVERS_SQL} select count(*) as total, count(*) filter (created_at > timestamp '2024-01-29 12:34:56') as recent from ca")
@@ -120,6 +125,33 @@ def retain_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.keep_covers(_covers(spark, sf_dir), datetime(2024, 1, 10, tzinfo=UTC)).select("cover_hash")
 
 
+_ACCESS_SQL = "al as (select cover_hash, case when first_id % 3 = 0 then '1706000000' when first_id % 3 = 1 then '2024-01-' || lpad(cast(1 + first_id % 30 as varchar), 2, '0') || 'T12:00:00+08:00' end as last_access from cv where first_id % 4 <> 0)"
+
+
+@query(f"""with {_COVERS_SQL}, {_ACCESS_SQL} select cover_hash from ca left join al using (cover_hash)
+where case when last_access like '%T%' then timestamp '2024-01-01 04:00:00' + to_days(cast(first_id % 30 as int)) else created_at end >= timestamp '2024-01-10 00:00:00'""")
+def retain_covers_by_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers by their last access where one is written that can be read (JN5)."""
+    c = _covers(spark, sf_dir)
+    i = F.col("first_id")
+    day = F.lpad((i % 30 + 1).cast("string"), 2, "0")
+    text = F.when(i % 3 == 0, "1706000000").when(i % 3 == 1, F.concat(F.lit("2024-01-"), day, F.lit("T12:00:00+08:00")))
+    return retention.keep_covers(c, datetime(2024, 1, 10, tzinfo=UTC), c.where(i % 4 != 0).select("cover_hash", text.alias("last_access"))).select("cover_hash")
+
+
+@query(f"with {_COVERS_SQL}, w as (select distinct case when doc_id % 4 = 0 then md5(cast(doc_id as varchar)) else md5(text) end as cover_hash from documents where text is not null) select cover_hash, '{int(NOW.timestamp())}' as last_access from w join cv using (cover_hash) where first_id % 5 <> 0")
+def cover_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading covers writes: the time of access of those that the cache hasn't got (SRC5)."""
+    c = _covers(spark, sf_dir)
+    return retention.record_access(_wanted(spark, sf_dir), c, c.where("first_id % 5 = 0"), NOW)
+
+
+@query(f"with {_COVERS_SQL}, w as (select distinct case when doc_id % 4 = 0 then md5(cast(doc_id as varchar)) else md5(text) end as cover_hash from documents where text is not null) select w.cover_hash from w left join cv using (cover_hash) where cv.cover_hash is null")
+def cover_delete_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes to delete that aren't stored (SNK4)."""
+    return retention.missing_covers(_covers(spark, sf_dir), _wanted(spark, sf_dir))
+
+
 @query(f"with {_COVERS_SQL} select cover_hash from cv where first_id % 3 <> 0")
 def cover_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _covers(spark, sf_dir)
@@ -166,8 +198,7 @@ def data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_COVERS_SQL}, w as (select distinct case when doc_id % 4 = 0 then md5(cast(doc_id as varchar)) else md5(text) end as cover_hash from documents where text is not null) select w.cover_hash, first_id, size, case when cv.cover_hash is null then 404 else 0 end as code from w left join cv on cv.cover_hash = w.cover_hash")
 def cover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = A.covers(spark, sf_dir).where("data is not null").select(F.when(F.col("doc_id") % 4 == 0, F.md5(F.col("doc_id").cast("string").cast("binary"))).otherwise(media.content_hash(F.col("data"))).alias("cover_hash")).distinct()
-    return retention.stored_covers(wanted, _covers(spark, sf_dir)).select("cover_hash", "first_id", "size", "code")
+    return retention.stored_covers(_wanted(spark, sf_dir), _covers(spark, sf_dir)).select("cover_hash", "first_id", "size", "code")
 
 
 @query()
@@ -176,6 +207,29 @@ def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.users(spark, sf_dir).select(*retention.new_user(F.col("open_id")))
 
 
+@query(f"with {A.USERS_SQL} select count(*) as users, count(*) as secret_keys, count(*) as sharing_keys, 64 as secret_length, 32 as sharing_length, true as hexadecimal, true as defaults from us")
+def new_user_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of what new_users makes: as many different keys as users, of the right lengths, and the defaults."""
+    made = A.users(spark, sf_dir).select(*retention.new_user(F.col("open_id")))
+    return made.agg(*_key_shape(), F.bool_and((F.col("status") == 1) & F.col("publicEnabled") & ~F.col("authorizedMusicStats")).alias("defaults"))
+
+
+def _key_shape() -> list:
+    both = F.concat("secret_key", "sharing_key")
+    return [
+        F.count("*").alias("users"), F.countDistinct("secret_key").alias("secret_keys"), F.countDistinct("sharing_key").alias("sharing_keys"),
+        F.max(F.length("secret_key")).alias("secret_length"), F.max(F.length("sharing_key")).alias("sharing_length"), F.bool_and(both.rlike("^[0-9a-f]{96}$")).alias("hexadecimal"),
+    ]
+
+
+@query(f"with {A.USERS_SQL} select count(*) as users, count(*) as secret_keys, count(*) as sharing_keys, 64 as secret_length, 32 as sharing_length, true as hexadecimal, true as fresh from us")
+def rotated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of what rotation of both keys makes, none of which is the old one."""
+    u = A.users(spark, sf_dir).withColumns({"old_secret": F.col("secret_key"), "old_sharing": F.col("sharing_key")})
+    made = retention.rotated(retention.rotated(u, "sharing_key"), "secret_key")
+    return made.agg(*_key_shape(), F.bool_and((F.col("secret_key") != F.col("old_secret")) & (F.col("sharing_key") != F.col("old_sharing"))).alias("fresh"))
+
+
 @query()
 def key_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with fresh sharing keys (SNK8)."""

@@ -187,17 +187,9 @@ def _config_errors(events: DataFrame) -> DataFrame:
     return events.select("seq", client.config_error(endpoint, interval, k % 3).alias("error"))
 
 
-@query(f"""with {A.EVENTS_SQL} select seq, case when k % 4 = 0 then '服务器地址不能为空' when k % 4 = 1 then '服务器地址格式无效' when k % 40 < 5 or k * 4 > 300 then '系统轮询间隔必须在 5-300 秒之间' when k % 3 < 1 then '活动轮询间隔必须在 5-60 秒之间' end as error from
-  (select seq, k from ev) where k * 4 > 300 or k % 40 = k""")
-def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    return _config_errors(A.events(spark, sf_dir).where((k * 4 > 300) | (k % 40 == k)))
-
-
 @query(f"""with {A.EVENTS_SQL}, cf as (select seq, k, case when k * 4 > 300 then k * 4 else k % 40 end as interval from ev)
 select seq, case when k % 4 = 0 then '服务器地址不能为空' when k % 4 = 1 then '服务器地址格式无效' when interval not between 5 and 300 then '系统轮询间隔必须在 5-300 秒之间' when k % 3 not between 1 and 300 then '活动轮询间隔必须在 5-60 秒之间' end as error from cf""")
-def config_validation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event's configuration."""
+def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _config_errors(A.events(spark, sf_dir))
 
 
@@ -212,25 +204,43 @@ def socket_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).select("seq", client.socket_reply(kind).alias("reply"))
 
 
-@query(f"with {A.EVENTS_SQL} select seq, 10 + seq as subscriber_id, user_id from ev where user_id % 2 = 0")
-def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes matched to subscriptions by user."""
-    from ..streaming.ingest import subscribed
+def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, subscriber_id): up to three subscribers a user."""
+    i = F.col("id")
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda n: n < i % 4)
+    return A.users(spark, sf_dir).select(i.alias("user_id"), F.explode(numbers).alias("n")).select("user_id", (F.col("user_id") * 10 + F.col("n")).alias("subscriber_id"))
 
-    e = A.events(spark, sf_dir)
-    subscriptions = e.where(F.col("user_id") % 2 == 0).select((F.col("seq") + 10).alias("subscriber_id"), "user_id", F.col("seq").alias("own"))
-    return subscribed(e.select("seq", "user_id"), subscriptions).where("seq = own").select("seq", "subscriber_id", "user_id")
+
+@query(f"""with {A.EVENTS_SQL}, m as (select seq, user_id, arrival_ms * 7 + case when k % 37 = 0 then 90000 else 0 end as at_ms, ['PING', 'SNAPSHOT', 'ERROR'][k % 3 + 1] as kind from ev),
+t as (select *, lag(at_ms) over w as b, (at_ms - first_value(at_ms) over w) // 10000 as sent from m window w as (partition by user_id order by at_ms, seq)),
+c as (select *, max(coalesce(at_ms - b > 60000, false)) over w as closed, sent - coalesce(lag(sent) over w, 0) as beats, case kind when 'PING' then 'PONG' when 'SNAPSHOT' then 'SNAPSHOT' else 'IGNORED' end as r
+  from t window w as (partition by user_id order by at_ms, seq))
+select seq, case when closed then null when b is null then 'PONG,' || r else r end as reply, case when closed then 0 else beats end as heartbeats, closed from c""")
+def socket_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as messages of one connection, some of them late."""
+    k = F.col("k")
+    kind = F.get(F.array(F.lit("PING"), F.lit("SNAPSHOT"), F.lit("ERROR")), k % 3)
+    at = F.col("arrival_ms") * 7 + F.when(k % 37 == 0, 90_000).otherwise(0)
+    m = A.events(spark, sf_dir).select(F.col("user_id").alias("connection_id"), "seq", at.alias("at_ms"), kind.alias("kind"))
+    return client.socket_sessions(m).select("seq", "reply", "heartbeats", "closed")
 
 
 @query(f"with {A.EVENTS_SQL}, {A.USERS_SQL}, sb as (select id as user_id, unnest(range(10 * id, 10 * id + id % 4)) as subscriber_id from us) select seq, subscriber_id, user_id from ev join sb using (user_id)")
-def fan_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change delivered to each of its user's subscribers, of whom there are up to three."""
     from ..streaming.ingest import subscribed
 
-    i = F.col("id")
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda n: n < i % 4)
-    subscriptions = A.users(spark, sf_dir).select(i.alias("user_id"), F.explode(numbers).alias("n")).select("user_id", (F.col("user_id") * 10 + F.col("n")).alias("subscriber_id"))
-    return subscribed(A.events(spark, sf_dir).select("seq", "user_id"), subscriptions).select("seq", "subscriber_id", "user_id")
+    return subscribed(A.events(spark, sf_dir).select("seq", "user_id"), _subscriptions(spark, sf_dir)).select("seq", "subscriber_id", "user_id")
+
+
+@query(f"""with {A.EVENTS_SQL}, {A.USERS_SQL}, sb as (select id as user_id, unnest(range(10 * id, 10 * id + id % 4)) as subscriber_id from us),
+d as (select subscriber_id, seq, row_number() over (partition by subscriber_id, arrival_ms // 10000 order by seq) as n from ev join sb using (user_id)) select subscriber_id, seq, n <= 2 as delivered from d""")
+def fan_out_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deliveries through a queue of two for each subscriber."""
+    from ..streaming.ingest import bounded, subscribed
+
+    sent = subscribed(A.events(spark, sf_dir).select("seq", "user_id", "arrival_ms"), _subscriptions(spark, sf_dir))
+    return bounded(sent, queue=2).select("subscriber_id", "seq", "delivered")
 
 
 @query(f"with {A.EVENTS_SQL} select seq, case when k % 2 = 0 then cast(0.5 as double) end as battery, title, label, ms as last_ts from ev")
@@ -263,7 +273,11 @@ def now_playing_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.now_playing(r, ("com.apple.Music",))
 
 
-@query()
+@query(f"""with recursive {A.EVENTS_SQL}, o as (select user_id, seq, arrival_ms, row_number() over (partition by user_id order by arrival_ms, seq) as n from ev),
+f as (select user_id, seq, arrival_ms, n, true as allowed, [arrival_ms] as calls from o where n = 1
+  union all select user_id, seq, arrival_ms, n, len(k) <= 5, case when len(k) <= 5 then list_append(k, arrival_ms) else k end
+  from (select o.*, list_filter(f.calls, lambda x: x > o.arrival_ms - 60000) as k from f join o on o.user_id = f.user_id and o.n = f.n + 1))
+select user_id, seq, arrival_ms, allowed from f""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.rate_limited(A.events(spark, sf_dir), 60_000, 5)
 

@@ -118,6 +118,38 @@ def stats_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("plays", "unique_tracks", text("top_artists").alias("artists"), text("top_tracks").alias("tracks"), text("top_albums").alias("albums"), F.col("from_ms").cast("long"), F.col("to_ms").cast("long"), "cached")
 
 
+_WINDOWS = {int(WindowType.ROLLING_3D): ROLLING_3D, int(WindowType.ROLLING_7D): ROLLING_7D, int(WindowType.MONTH_TO_DATE): MONTH, int(WindowType.YEAR_TO_DATE): YEAR}
+_IN_WINDOWS = ", ".join(f"({k}, {_sql_time(w.start)}, {_sql_time(w.end)})" for k, w in _WINDOWS.items())
+
+
+@query(f"""with {A.EVENTS_SQL}, wi(type, f, t) as (values {_IN_WINDOWS}), rows_ as (select type, title, artist, album from ev, wi where recorded_at >= f and recorded_at <= t and has_music),
+names as (select type, 'track' as kind, title || ' - ' || artist as name from rows_ union all select type, 'artist', artist from rows_ union all select type, 'album', album || ' - ' || artist from rows_),
+counts as (select type, kind, name, count(*) as c from names where name is not null group by all),
+r as (select type, kind, name, c, cast(row_number() over (partition by type, kind order by c desc, name) as int) as rank from counts)
+select type, n, kind, rank, name, c as count from r, (select unnest([3, 5, 10, 20]) as n) where rank <= n""")
+def stats_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window that a user can choose by every length of list (TOP6)."""
+    return stats.choices(A.history(spark, sf_dir), _WINDOWS)
+
+
+_AT_MS = "arrival_ms * 200"
+
+
+@query(f"""with recursive {A.EVENTS_SQL}, rq as (select seq, user_id, k % 3 as w, {_AT_MS} as at_ms, (3600 + (5 + user_id % 16) * 60) * 1000 as ttl from ev),
+nx as (select a.user_id, a.w, a.at_ms, min(b.at_ms) as next_ms from rq a left join rq b on b.user_id = a.user_id and b.w = a.w and b.at_ms >= a.at_ms + a.ttl group by all),
+chain as (select user_id, w, min(at_ms) as ms from rq group by all union all select c.user_id, c.w, nx.next_ms from chain c join nx on nx.user_id = c.user_id and nx.w = c.w and nx.at_ms = c.ms where nx.next_ms is not null)
+select rq.seq as request_id, chain.ms is null as cached from rq left join chain on chain.user_id = rq.user_id and chain.w = rq.w and chain.ms = rq.at_ms""")
+def stats_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each user for three windows: which are answered from the cache (CCH1)."""
+    from ..functions import formatting
+
+    e = A.events(spark, sf_dir)
+    window_start = F.col("k") % 3
+    key = F.concat(formatting.cache_key(F.col("user_id"), "UTC", 0, 1), F.lit(":"), window_start.cast("string"))
+    r = e.select(F.col("seq").alias("request_id"), "user_id", key.alias("cache_key"), F.expr(_AT_MS).alias("at_ms"))
+    return stats.cache_hits(r, formatting.cache_ttl_seconds(F.col("user_id"))).select("request_id", "cached")
+
+
 @query(f"with {A.EVENTS_SQL} select seq as id, user_id, recorded_at from ev where user_id = {USER} and recorded_at >= {_sql_time(ROLLING_7D.start)} and recorded_at <= {_sql_time(ROLLING_7D.end)}")
 def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within(A.history(spark, sf_dir).where(F.col("user_id") == USER), ROLLING_7D).select("id", "user_id", "recorded_at")
