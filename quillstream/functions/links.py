@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OK, MISSING, INVALID = "OK", "MISSING", "INVALID"
+#: White space.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -28,13 +30,18 @@ def query_value(url: Column, name: str) -> Column:
     return F.coalesce(_decoded(found, plus=True), F.lit(""))
 
 
+def _trimmed(text: Column) -> Column:
+    """text without white space around it, of any kind."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def parse_share_url(url: Column, legacy_key: Column, legacy_template: Column) -> Column:
     """struct(status, sharing_key, template). Without a url the legacy parameters count; a url must be
     absolute with the path s/<key>."""
-    raw = F.trim(F.coalesce(url, F.lit("")))
-    key = F.trim(F.coalesce(legacy_key, F.lit("")))
+    raw = _trimmed(F.coalesce(url, F.lit("")))
+    key = _trimmed(F.coalesce(legacy_key, F.lit("")))
     parts = _segments(_part(raw, 3))
-    shared = F.when(raw.rlike(ABSOLUTE) & (F.size(parts) == 2) & (F.get(parts, F.lit(0)) == "s"), F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")))
+    shared = F.when(raw.rlike(ABSOLUTE) & (F.size(parts) == 2) & (F.get(parts, F.lit(0)) == "s"), F.nullif(_trimmed(F.get(parts, F.lit(1))), F.lit("")))
     status = F.when(raw == "", F.when(key == "", MISSING).otherwise(OK)).when(shared.isNull(), INVALID).otherwise(OK)
     template = F.when(raw == "", F.coalesce(legacy_template, F.lit(""))).otherwise(query_value(raw, "m"))
     return F.struct(status.alias("status"), F.when(status == OK, F.when(raw == "", key).otherwise(shared)).alias("sharing_key"), F.when(status == OK, template).alias("template"))
@@ -42,13 +49,13 @@ def parse_share_url(url: Column, legacy_key: Column, legacy_template: Column) ->
 
 def bot_key(url: Column) -> Column:
     """The key of a path that begins with s/<key>; empty if it doesn't."""
-    parts = _segments(_part(F.trim(url), 3))
+    parts = _segments(_part(_trimmed(url), 3))
     return F.when((F.size(parts) >= 2) & (F.get(parts, F.lit(0)) == "s"), F.get(parts, F.lit(1))).otherwise("")
 
 
 def block_link(url: Column) -> Column:
     """struct(base_url, sharing_key) of /status/<key>, /s/<key> or a single segment; null otherwise."""
-    raw = F.trim(url)
+    raw = _trimmed(url)
     parts = F.filter(F.split(_part(raw, 3), "/"), lambda x: x != "")
     first = F.get(parts, F.lit(0))
     key = F.when((F.size(parts) >= 2) & first.isin("status", "s"), F.get(parts, F.lit(1))).when(F.size(parts) == 1, first)
@@ -58,7 +65,7 @@ def block_link(url: Column) -> Column:
 
 def with_key(template: Column, key: Column) -> Column:
     """{SharingKey} replaced; a blank template gives nothing."""
-    return F.when(F.trim(template) == "", "").otherwise(F.replace(template, F.lit("{SharingKey}"), key))
+    return F.when(_trimmed(template) == "", "").otherwise(F.replace(template, F.lit("{SharingKey}"), key))
 
 
 def redirect_target(asked: Column, default: str, key: Column) -> Column:

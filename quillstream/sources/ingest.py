@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import commands
+from ..functions.links import BLANKS
 
 LONGEST_LINE = 10_000_000
 
@@ -30,7 +31,7 @@ def legacy_reports(bodies: DataFrame, now_ms: int) -> DataFrame:
 def media_lines(lines: DataFrame) -> DataFrame:
     """lines (value) of NDJSON, batch or stream → type, diff and payload. Blank, overlong and malformed lines and
     those without a required field are dropped."""
-    line = F.trim(F.col("value"))
+    line = F.btrim(F.col("value"), F.lit(BLANKS))
     kept = lines.withColumn("_line", line).where((F.col("_line") != "") & (F.length("_line") <= LONGEST_LINE))
     parsed = kept.withColumn("_record", F.from_json("_line", schemas.MEDIA_LINE)).where("_record.type is not null and _record.diff is not null and _record.payload is not null")
     return parsed.drop("value", "_line").select("*", "_record.*").drop("_record")
