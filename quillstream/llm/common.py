@@ -13,27 +13,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where it is unset (tests on one machine) a temporary folder stands in.
+    Where it is unset a temporary folder stands in, on a local master only: elsewhere executors wouldn't
+    find it, and an error is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="quillstream-"))
     return _own_folder[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, label: str, files: int = 0) -> tuple[DataFrame, str]:
+    """df, written once as Parquet in the shared folder and read back (lineage ends there), and its path.
+
+    files: into how many it is dealt first, where its size is known; else one for each partition.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    (df.repartition(files) if files else df).write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str, files: int = 0) -> DataFrame:
+    """stored(), for what a returned DataFrame reads: it stays until discard_all()."""
+    return stored(df, label, files)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what stored() has written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.remove(path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all that this process has written and not deleted yet: call it when the results are saved."""
+    for path in list(_written):
+        discard(spark, path)
 
 
 @cache
@@ -68,6 +94,11 @@ def fold(doc_id: Column, of: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
+def long_array(values: list[int]) -> Column:
+    """A constant array of longs, one literal in the plan however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+
+
 def bounds_of(df: DataFrame, column: str, ranges: int) -> list[int]:
     """Bounds that cut the values of a long column into about equal ranges; nulls don't count."""
     found = df.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("b")).first().b
@@ -78,7 +109,7 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     """How many bounds are at or below the value, by binary search; 0 for null."""
     if not bounds:
         return F.lit(0)
-    known = F.array(*map(F.lit, bounds)).cast("array<long>")
+    known = long_array(bounds)
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
     found = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(bounds)) & (F.get(known, n + s - 1) <= value), n + s).otherwise(n))
     return F.when(value.isNull(), 0).otherwise(found)
@@ -87,13 +118,17 @@ def range_of(value: Column, bounds: list[int]) -> Column:
 def sample_ids(df: DataFrame, n: int) -> DataFrame:
     """The n distinct doc_ids with the least hashes (fewer if there are fewer); nulls don't count.
 
-    Only ids under a hash that about 3n + 100 ids have are sorted, so what a partition hands over does not
-    grow with the number of partitions.
+    Only ids under a hash that some 2n + 100 rows have are made distinct and sorted. Where ids repeat so often that
+    these are too few ids, the hash is raised.
     """
     span = 1 << 40
-    ids = df.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("h")).distinct()
-    least = -(-span * (3 * n + 100) // max(1, ids.count()))
-    return ids.where(F.col("h") < least).orderBy("h", "doc_id").limit(n).select("doc_id")
+    ids = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(span)).alias("h"))
+    below = -(-span * (2 * n + 100) // max(1, ids.count()))
+    while True:
+        found = [r.doc_id for r in ids.where(F.col("h") < below).distinct().orderBy("h", "doc_id").limit(n).collect()]
+        if len(found) >= n or below >= span:
+            return small_table(df.sparkSession, {"doc_id": found}, {"doc_id": pa.int64()})
+        below *= 8
 
 
 def whole_text(text: str = "text") -> Column:
@@ -101,13 +136,33 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """Two columns `_id` and `_row` that name a row by its content: doc_id (0 for null) and a hash of all columns.
+
+    Rows that agree in both are the same row repeated (but for one pair in 2**64).
+    """
+    values = [F.to_json(F.struct(c)) if "map<" in t or t == "variant" else F.col(f"`{c}`") for c, t in df.dtypes]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), F.xxhash64(*values, *(v.isNull() for v in values)).alias("_row")]
+
+
+#: Settings of a session, their defaults, and the bounds that operators put in place of a default.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20)))
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch hands to Python by bytes, for this session: texts may be very long.
+    """Bound what one Arrow batch hands to Python by bytes: texts may be very long.
 
-    Each operator that calls Python asks for it.
+    Each operator that calls Python asks for it. Its plan is made when the caller runs it, so the bounds have to stay
+    in the session; what the caller has set stays as it is.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for name, default, bound in BATCHES:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, bound)
+
+
+def small_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
+    """Lists at hand as a DataFrame. They go through Arrow: a list of rows would start Python workers on the executors."""
+    return spark.createDataFrame(pa.table({c: pa.array(columns[c], t) for c, t in types.items()}))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
