@@ -1,17 +1,24 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing (operator 9).
 
-Equal fingerprints collapse first, so groups of copies cost one row. Links of 2 bits meet halfway:
-every fingerprint emits all variants within 1 bit, and whoever shares a variant is at most 2 bits
-apart, so a bucket (65 fingerprints at most) is linked as a chain without verification or pairs.
-Links of 3 bits leave one half of the bits at most 1 apart: every fingerprint emits the variants
-within 1 bit of each 32-bit half, these are shuffled to the fingerprints that have that half, and
-colliding pairs are verified. Pairs that the 2-bit links have already joined are skipped before
-the join, so a large group of near copies isn't expanded into pairs. Emitting all variants within
-2 bits of 64 would cost 2081 rows a fingerprint; this costs 131.
+Equal fingerprints collapse first, so groups of copies cost one row. A link of 1 or 2 bits has a midpoint within
+1 bit of both ends: every fingerprint emits all variants within 1 bit, and whoever shares a variant is 2
+bits apart at most, so a bucket (65 fingerprints at most) is linked as a chain without pairs. Components of
+these links come first.
+
+A link of 3 bits has midpoints 1 bit from one end and 2 bits from the other. All variants within 2 bits would be
+2081 rows a fingerprint, so they travel in bundles: of the two 32-bit halves of a link one differs by 1
+bit at most, so a fingerprint goes to the buckets of both of its halves, and to those 1 bit away (66 rows). Only
+where fingerprints of different components meet in a bucket do its members emit their variants there,
+whole 64-bit values again: at exactly 1 bit (near) and at exactly 2 bits (far). Those that share a whole half with many of
+other components are bundled once more, by the halves of their other half. Who is near a variant and who is far
+from it are 3 bits apart at most, so near ones give their component and far ones join it: a row for each
+variant, never a pair for each two members. In buckets of so few members that all pairs are fewer than their variants,
+the pairs are verified instead. So what a member makes is bounded by the ball, whatever the size of its group.
 
 Defined results: null and empty texts and texts without words have the fingerprint 0, which links
-like any other. Repeated rows stay and share a component. A null doc_id never names a component;
-a component of null ids only has a null component_id. An empty table gives an empty result.
+like any other; texts of any length are read whole. Repeated rows stay and share a component. A null doc_id never
+names a component; a component of null ids only has a null component_id. Columns besides doc_id and text are ignored,
+whatever their names (keep_one passes them through). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bound_batches, materialize, tidy, whole_text
+from .common import bound_batches, discard, materialize, row_key, stored, tidy, whole_text
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -42,27 +49,44 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> list[int]:
     return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
+def _bit_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each run of hashes have each of the 64 bits; runs are `counts` long, none is empty.
+
+    Eight bits are counted at a time, each in a byte of its own, over at most 255 hashes.
+    """
+    parts = -(-counts // 255)
+    first = np.cumsum(parts) - parts
+    within = np.arange(parts.sum()) - np.repeat(first, parts)
+    starts = np.repeat(np.cumsum(counts) - counts, parts) + 255 * within
+    out = np.empty((len(counts), 8, 8), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+        out[:, :, k] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return out.reshape(-1, 64)
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A bit is set if more than half of the text's shingle hashes have it."""
     out = np.zeros(len(texts), np.uint64)
-    hashes, rows, counts = [], [], []
+    hashes, rows, counts, waiting = [], [], [], 0
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def flush() -> None:
         if rows:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            starts = np.cumsum(counts) - counts
-            many = np.add.reduceat(bits, starts, axis=0, dtype=np.int64) * 2 > np.array(counts)[:, None]
+            sizes = np.array(counts)
+            many = _bit_counts(np.concatenate(hashes), sizes) * 2 > sizes[:, None]
             out[rows] = np.where(many, powers, np.uint64(0)).sum(1, dtype=np.uint64)
         hashes.clear(), rows.clear(), counts.clear()
 
     for i, x in enumerate(texts):
         if found := shingle_hashes(x):
-            hashes += found
+            hashes.append(np.array(found, np.uint64))
             rows.append(i)
             counts.append(len(found))
-        if len(hashes) > 1 << 17:
+            waiting += len(found)
+        if waiting > 1 << 16:
             flush()
+            waiting = 0
     flush()
     return out
 
@@ -76,32 +100,92 @@ def fingerprint(text: Column) -> Column:
     return F.pandas_udf(tidy(of), "long")(text)
 
 
-def _flips(value: Column, bits: int) -> Column:
-    return F.array(value, *(value.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(bits)))
+def _bit(b: int) -> int:
+    return 1 << b if b < 63 else -(1 << 63)
+
+
+def _flips(value: Column, bits: range) -> list[Column]:
+    """value with one of the bits turned."""
+    return [value.bitwiseXOR(F.lit(_bit(b)).cast("long")) for b in bits]
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """(a, b) such that the components of these links are those of all links of up to 2 bits."""
-    variants = nodes.select("fp", F.explode(_flips(F.col("fp"), 64)).alias("variant"))
+    variants = nodes.select("fp", F.explode(F.array("fp", *_flips(F.col("fp"), range(64)))).alias("variant"))
     bucket = W.Window.partitionBy("variant").orderBy("fp")
-    return variants.select("fp", F.lag("fp").over(bucket).alias("other")).where("other is not null").select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
+    return variants.select(F.first("fp").over(bucket).alias("a"), F.col("fp").alias("b")).where("a != b").distinct()
+
+
+Bits = range
+#: For each half of the bits: those that are free in its buckets (the other half), and those that are turned.
+HALVES = ((range(32), range(32, 64)), (range(32, 64), range(32)))
+#: The same for the halves of each of these free halves.
+QUARTERS = tuple(((range(b, b + 16), range(b + 16, b + 32)), (range(b + 16, b + 32), range(b, b + 16))) for b in (0, 32))
+
+
+def _mask(bits: Bits) -> int:
+    return sum(map(_bit, bits))
 
 
-def _halves(nodes: DataFrame) -> DataFrame:
-    high = F.shiftrightunsigned("fp", 32)
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    return nodes.select("fp", "label", F.inline(F.array(F.struct(F.lit(0).alias("side"), high.alias("half")), F.struct(F.lit(1).alias("side"), low.alias("half")))))
+BALL = 32  # variants of a member within a bucket: up to as many pairs a member are cheaper
 
 
-def far_links(labelled: DataFrame) -> DataFrame:
-    """Links (a, b) of up to 3 bits between fingerprints with different labels, as links of labels."""
-    has = _halves(labelled)
-    probes = has.select("fp", "label", "side", F.explode(_flips(F.col("half"), 32)).alias("half"))
-    owners = has.groupBy("side", "half").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    foreign = probes.join(owners, ["side", "half"]).where((F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))).select("side", "half", "fp", "label")
-    other = has.select("side", "half", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    pairs = foreign.join(other, ["side", "half"]).where((F.col("label") != F.col("label2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS))
-    return pairs.select(F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")).distinct()
+def _meet(members: DataFrame, sides: tuple[tuple[Bits, Bits], ...], last: bool, files: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links (a, b); (label, variant) of who is near and of who is far; (side, fp, label) of crowds still to be told apart.
+
+    members: (fp, label). For each side a bucket is what fingerprints have in common outside the free bits. A crowd has one
+    such bucket in common: all 3 bits may be free. If this is the last level, its members are among the near ones.
+    """
+    keys = [F.struct(F.lit(i).alias("side"), F.col("fp").bitwiseAND(F.lit(~_mask(free)).cast("long")).alias("key")) for i, (free, _) in enumerate(sides)]
+    bucket = ["side", "key"]
+    owners = members.select("fp", "label", F.inline(F.array(*keys)))
+    by_side = lambda arrays: F.element_at(F.array(*(F.array(*x) for x in arrays)), F.col("side") + 1)
+    probes = owners.select("fp", "label", "side", F.explode(by_side([_flips(F.col("key"), turned) for _, turned in sides])).alias("key"))
+    seen = owners.groupBy(bucket).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("owners"))
+    mixed = (F.col("least") != F.col("most")).alias("mixed")
+    # 1 bit apart in the bits that aren't free: the owner is 1 bit from a midpoint, the other one 2 bits.
+    foreign = probes.join(seen, bucket).where("least != label or most != label").select(*bucket, "fp", "label", "owners", mixed)
+    foreign = materialize(foreign, "foreign", files)
+    met = foreign.groupBy(bucket).agg(F.count("*").alias("probes"), F.max("owners").alias("owners"), F.max("mixed").alias("mixed"))
+    met = met.union(seen.where(mixed).select(*bucket, F.lit(0).cast("long"), "owners", F.lit(True)))
+    met = met.groupBy(bucket).agg(F.max("probes").alias("probes"), F.max("owners").alias("owners"), F.max("mixed").alias("mixed"))
+    dense = (F.col("probes") * F.col("owners") > BALL * (F.col("probes") + F.col("owners"))).alias("dense")
+    crowd = (F.col("mixed") & (F.col("owners") > 2 * BALL)).alias("crowd")
+    met = materialize(met.select(*bucket, "probes", "mixed", dense, crowd), "met", files)
+    found = materialize(owners.join(met, bucket), "members", files)
+    foreign = foreign.select(*bucket, "fp", "label").join(met.select(*bucket, "dense"), bucket)
+
+    other = found.select(*bucket, F.col("fp").alias("fp2"), F.col("label").alias("label2"), "dense", "probes", "mixed", "crowd")
+    close = (F.col("label") != F.col("label2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS)
+    link = [F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")]
+    links = foreign.where("not dense").drop("dense").join(other.where("not dense and probes > 0").select(*bucket, "fp2", "label2"), bucket).where(close).select(*link)
+    few = found.where("mixed and not crowd").select(*bucket, "fp", "label").join(other.where("mixed and not crowd").select(*bucket, "fp2", "label2"), bucket)
+    links = links.union(few.where((F.col("fp") < F.col("fp2")) & close).select(*link))
+
+    # A member of a bucket 1 bit away has that bit turned already.
+    at = lambda free: F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(_mask(free)).cast("long")))
+    once = F.explode(by_side([_flips(at(free), free) for free, _ in sides])).alias("variant")
+    near = found.where("dense or crowd" if last else "dense")
+    return links, near.select("label", once), foreign.where("dense").select("label", once), found.where("crowd").select("side", "fp", "label")
+
+
+def far_links(labelled: DataFrame, files: int = 1) -> DataFrame:
+    """Links (a, b) of labels: of all fingerprints 3 bits apart whose labels differ.
+
+    labelled: (fp, label); whoever is 2 bits apart or less has the same label.
+    """
+    links, near, far, crowds = _meet(labelled, HALVES, False, files)
+    for side, sides in enumerate(QUARTERS):
+        more_links, more_near, more_far, rest = _meet(crowds.where(F.col("side") == side).select("fp", "label"), sides, True, files)
+        # All three bits are among the free ones: one of the two fingerprints has an odd number of ones, and emits the far variants.
+        pairs = [F.array(*(F.lit(_bit(x) ^ _bit(y)).cast("long") for x in free for y in free if x < y)) for free, _ in sides]
+        twice = F.transform(F.element_at(F.array(*pairs), F.col("side") + 1), lambda m: F.col("fp").bitwiseXOR(m))
+        odd = rest.where(F.bit_count("fp") % 2 == 1).select("label", F.explode(twice).alias("variant"))
+        links, near, far = links.union(more_links), near.union(more_near), far.union(more_far).union(odd)
+    # All who are near a variant have one label.
+    near = near.groupBy("variant").agg(F.min("label").alias("a"))
+    pairs = far.distinct().join(near, "variant").where("a != label")
+    return links.union(pairs.select(F.least("a", "label").alias("a"), F.greatest("a", "label").alias("b"))).distinct()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -119,28 +203,39 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+ROWS = 1 << 15  # of a file of fingerprints or links
+
+
+def _files(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
+def components(edges: DataFrame, rounds: int = 100, files: int = 1) -> DataFrame:
     """(b, a): each vertex that isn't its component's least, and the least, by alternating star contraction.
 
-    Every round is written to the shared folder; the number of rounds grows with the logarithm of
-    the longest chain. An error is raised if `rounds` don't suffice.
+    Every round is written to the shared folder, and the round before deleted; the number of rounds grows with the
+    logarithm of the longest chain. An error is raised if `rounds` don't suffice. `files` is for the first write.
     """
-    edges = materialize(edges, "links")
+    spark = edges.sparkSession
+    edges, path = stored(edges, "links", files)
     mark = None
     for _ in range(rounds):
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row[0] == 0 or tuple(row) == mark:
             return edges
         mark = tuple(row)
-        edges = materialize(_star(_star(edges, True), False), "links")
+        before = path
+        edges, path = stored(_star(_star(edges, True), False), "links", _files(row[0]))
+        discard(spark, before)
     raise RuntimeError("links didn't settle")
 
 
-def labels(nodes: DataFrame) -> DataFrame:
-    """(fp, label): the least fingerprint that links of up to 3 bits reach."""
-    near = components(near_links(nodes))
-    first = materialize(nodes.join(near.select(F.col("b").alias("fp"), F.col("a").alias("least")), "fp", "left").select("fp", F.coalesce("least", "fp").alias("label")), "labels")
-    far = components(far_links(first))
+def labels(nodes: DataFrame, files: int = 1) -> DataFrame:
+    """(fp, label): the least fingerprint that links of up to 3 bits reach. `files`: about how many tables of fp are cut into."""
+    near = components(near_links(nodes), files=files)
+    of_near = near.select(F.col("b").alias("fp"), F.col("a").alias("least"))
+    first = materialize(nodes.join(of_near, "fp", "left").select("fp", F.coalesce("least", "fp").alias("label")), "labels", files)
+    far = components(far_links(first, files), files=files)
     return first.join(far.select(F.col("b").alias("label"), F.col("a").alias("least")), "label", "left").select("fp", F.coalesce("least", "label").alias("label"))
 
 
@@ -149,19 +244,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint), one row per row of docs."""
     bound_batches(docs.sparkSession)
     prints = materialize(docs.select("doc_id", fingerprint(whole_text()).alias("fp")), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labelled = materialize(labels(nodes.select("fp")), "labels")
-    with_ids = labelled.join(nodes, "fp")
-    least = with_ids.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_print = materialize(labelled.join(least, "label").select("fp", "component_id", F.col("label").alias("root")), "components")
+    files = _files(prints.count())
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes", files)
+    labelled = materialize(labels(nodes.select("fp"), files).join(nodes, "fp"), "labels", files)
+    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_print = materialize(labelled.join(least, "label").select("fp", "component_id", F.col("label").alias("root")), "components", files)
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that with the least doc_id, one of them if its id repeats."""
-    groups = near_duplicates(docs)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "root", "fingerprint").distinct()
-    # The row travels as a struct, so that no column of docs clashes with one of ours.
-    texts = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.lower(F.lpad(F.hex(fingerprint(whole_text())), 16, "0")).alias("print"))
-    found = texts.join(kept, texts.doc_id.eqNullSafe(kept.kept_id) & (F.col("print") == F.col("fingerprint")))
-    return found.select("row", "root").dropDuplicates(["root"]).select("row.*")
+    """docs with one row of each component: that with the least doc_id (null if there is no other); of rows that share
+    the id that with the least hash of its columns, and one of rows that are repeated.
+
+    Texts are read twice: for their fingerprints, and for the rows that stay, which are exchanged once. Between,
+    only ids and hashes are.
+    """
+    bound_batches(docs.sparkSession)
+    key = row_key(docs)
+    prints = materialize(docs.select("doc_id", *key, fingerprint(whole_text()).alias("fp")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "_id", "_row")).alias("first")
+    files = _files(prints.count())
+    nodes = materialize(prints.groupBy("fp").agg(first), "nodes", files)
+    kept = labels(nodes.select("fp"), files).join(nodes, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    kept = materialize(kept.select("first._id", "first._row"), "kept", files)
+    # The row travels as a struct, so that no column of docs clashes with one of ours. Repeated rows meet before the exchange.
+    rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).dropDuplicates(["_id", "_row"])
+    return rows.join(kept, ["_id", "_row"]).select("row.*")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from quillstream.llm import simhash
@@ -55,8 +56,10 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_links_of_dense_and_sparse_fingerprints(spark):
-    """Clusters of many fingerprints around a centre, chains, and pairs at each distance."""
+@pytest.mark.parametrize("ball", [32, 1, 0])
+def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, ball):
+    """Clusters of many fingerprints around a centre, chains, and pairs at each distance; by pairs in small buckets, or by variants in all."""
+    monkeypatch.setattr(simhash, "BALL", ball)
     draw = random.Random(5)
     flip = lambda x, n: x ^ sum(1 << b for b in draw.sample(range(64), n))
     prints = set()
@@ -72,6 +75,11 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
         prints.add(x)
         x = flip(x, 3)
     prints |= {0, 1, 7, 1 << 63, (1 << 64) - 1}
+    for side in (0, 32):  # many of one half, far from each other and 3 bits apart in the other half
+        half = draw.getrandbits(32) << (32 - side)
+        for _ in range(50):
+            x = half | draw.getrandbits(32) << side
+            prints |= {x, x ^ sum(1 << b for b in draw.sample(range(side, side + 32), 3))}
     nodes = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
     label = {r.fp: r.label for r in simhash.labels(nodes).collect()}
     ordered = sorted(prints)
@@ -82,6 +90,37 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_a_large_group_with_one_foreign_neighbour(spark, n):
+    """A group that shares one half of its bits, and one more with that half: what meets stays linear."""
+    draw = random.Random(n)
+    high = draw.getrandbits(32) << 32
+    group, low = {high}, 0
+    while len(group) < n:  # a walk by single bits
+        low ^= 1 << draw.randrange(32)
+        group.add(high | low)
+    far = next(x for x in iter(lambda: high | draw.getrandbits(32), None) if all((x ^ g).bit_count() > 3 for g in group))
+    rows = [(signed(g), signed(min(group, key=signed))) for g in group] + [(signed(far), signed(far))]
+    df = spark.createDataFrame(rows, "fp long, label long")
+    met = []
+    links = simhash.far_links(df)
+
+    def walk(node):
+        metrics = node.metrics()
+        if metrics.contains("numOutputRows"):
+            met.append(metrics.apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    assert links.count() == 0
+    plan = links._jdf.queryExecution().executedPlan()
+    assert links._jdf.queryExecution().executedPlan() is not None
+    links.collect()
+    walk(plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan)
+    # no operator makes more rows than the variants of the members
+    assert max(met, default=0) <= (n + 1) * (32 + 496 + 32)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     found = {r.b: r.a for r in simhash.components(edges).collect()}
