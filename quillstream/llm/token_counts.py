@@ -5,13 +5,17 @@ that histogram answer totals, quantiles and truncated totals for every context l
 has one row per distinct length, so all that follows the first aggregation is small; the suffix sums
 still run in blocks of lengths, so that no single task needs the whole histogram.
 
-Defined results: null and empty texts have length 0, repeated rows count each time, an empty table
-gives an empty histogram.
+Long runs of white space are cut off before the tokenizer's pattern sees them, since it would try each place of the
+run as its end; count_tokens says why the count stays the same.
+
+Defined results: null and empty texts have length 0, texts of any length are encoded whole, repeated rows count each
+time, an empty table gives an empty histogram. Columns besides the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -19,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bound_batches, materialize, whole_text
+from .common import bound_batches, materialize, tidy, whole_text
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenization pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: what the pattern takes for white space.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{SPACE}]{{512,}}")
 BLOCK = 1 << 7  # lengths of one block of suffix sums
 
 
@@ -36,14 +43,29 @@ def encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(text: str, path: str = TOKENIZER) -> int:
+    """How many tokens the text has.
+
+    Only the pattern's `\\s+(?!\\S)` and `\\s+` take white space, but for one space before a word. So a run of it is one
+    piece but for its last character, which stays with what follows, or as a whole at the end of the text; and no piece
+    reaches from what isn't white space into the run. The parts around a run thus count alone, the run as one piece.
+    """
+    e = encoding(path)
+    total = at = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(e.encode_ordinary(text[at : run.start()])) + len(e._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(e.encode_ordinary(text[at:]))
+
+
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
     """Number of tokens of each text; the vocabulary file must be on every machine."""
 
     def count(texts: pd.Series) -> pd.Series:
-        encode = encoding(path).encode_ordinary
-        return texts.map(lambda x: len(encode(x)) if x else 0)
+        return texts.map(lambda x: count_tokens(x, path) if x else 0)
 
-    return F.pandas_udf(count, "long")(text)
+    return F.pandas_udf(tidy(count), "long")(text)
 
 
 def length_histogram(df: DataFrame, n_tokens: Column) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from quillstream.llm import token_counts as tc
 
 
@@ -32,6 +36,39 @@ def test_any_limit_and_edges(spark):
     assert [r.truncated_tokens for r in tc.totals_at(empty, [5]).collect()] == [0]
 
 
+SPACES = " \t\n\r\x0b\x0c\x85\xa0\u2003\u3000"
+
+
+def test_runs_of_white_space_count_as_before(monkeypatch):
+    """Cut at every run of two or more: the count is that of the whole text."""
+    monkeypatch.setattr(tc, "LONG_RUN", tc.re.compile(f"[{tc.SPACE}]{{2,}}"))
+    e = tc.encoding(tc.TOKENIZER)
+    draw = random.Random(4)
+    for _ in range(4000):
+        text = "".join(draw.choice(["a", "word", "'s", "12", "!?", "é", "\x1c", "".join(draw.choice(SPACES) for _ in range(draw.randint(1, 6)))]) for _ in range(draw.randint(0, 12)))
+        assert tc.count_tokens(text) == len(e.encode_ordinary(text)), repr(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " \n"])
+def test_long_runs_of_white_space(space):
+    """As many tokens as the tokenizer finds where it can (below its limit), and no crash beyond."""
+    e = tc.encoding(tc.TOKENIZER)
+    for n in (600, 5_000, 100_000):
+        for text in (space * n, "a" + space * n, space * n + "b c", "x y" + space * n + "z" + space * n):
+            assert tc.count_tokens(text) == len(e.encode_ordinary(text))
+    n = 2_000_000 // len(space)
+    a, b = (tc.count_tokens("one" + space * n + rest) for rest in ("", "two"))
+    assert 0 < a <= 2_000_001 and abs(a - b) <= 3
+
+
+def test_odd_texts_in_spark(spark):
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" * 1_000_000, None, "", "hello world", "hello world"]
+    df = spark.createDataFrame([(t, "clash", 1) for t in texts], "text string, n_tokens string, docs int")
+    rows = tc.document_token_counts(df).orderBy("context_limit").collect()
+    assert sum(r.docs for r in rows) == 7 and rows[0].docs == 2 and rows[0].total_tokens == sum(r.docs * r.context_limit for r in rows)
+    assert tc.document_token_counts(df.limit(0)).count() == 0
+
+
 def test_blocks_of_lengths(spark):
     hist = spark.createDataFrame([(n, 1 + n % 3) for n in range(0, 1000, 7)], "n_tokens long, docs long")
     for r in tc.context_limits(hist).collect():
