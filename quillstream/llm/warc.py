@@ -9,10 +9,12 @@ a record without an earlier response in its own range takes the carried one.
 Then the validators are checked (entity tags by weak comparison, or else modification dates), and
 the headers that a not-modified answer may update replace those of the response.
 
-Defined results: outcome is `resolved`, `unvalidated` (neither side's validators can be compared),
-`mismatch`, `no_prior`, or `no_url` for a record without a URL. Responses of the same second are not
-earlier, and records without a time never match. Of repeated responses the one with the greatest record_id counts. Null headers count as none.
-An empty table gives an empty result.
+Defined results: outcome is `resolved`, `unvalidated` (neither side's validators can be compared: the
+response stands with its own headers, none is merged), `mismatch`, `no_prior`, or `no_url` for a record without a URL.
+Responses of the same second are not earlier, and records without a time never match. Of repeated responses the one with
+the greatest record_id counts; repeated revisits each have a row. Records with a null record_id count like others. Null
+headers count as none, texts of any length are kept whole. Further columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def headers_text(headers: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """records: record_id, warc_type (`response` or `revisit`), url, ts (seconds), etag, last_modified,
     headers (map). One row for each revisit: record_id, canonical_url, outcome, response_id, headers
-    (merged if resolved or unvalidated, else null). Further columns are ignored."""
+    (merged if resolved, the response's own if unvalidated, else null). Further columns are ignored."""
     r = records.select("record_id", "ts", "warc_type", "etag", "last_modified", "headers", canonical_url(F.col("url")).alias("key"))
     found = r.where("ts is not null").agg(F.count("*").alias("n")).first().n
     n = min(MOST_RANGES, max(RANGES, -(-found // RANGE_ROWS)))
@@ -84,13 +86,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     same = F.when(tags, _opaque(F.col("etag")) == _opaque(F.col("prior.etag"))).when(dates, F.col("last_modified") == F.col("prior.last_modified"))
     outcome = F.when(F.col("key").isNull(), "no_url").when(F.col("prior").isNull(), "no_prior").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
     x = x.withColumn("outcome", outcome)
-    merged = F.when(F.col("outcome").isin("resolved", "unvalidated"), merged_headers(F.col("prior.headers"), F.col("headers")))
+    nothing = F.create_map().cast("map<string,string>")
+    update = F.when(F.col("outcome") == "resolved", F.col("headers")).otherwise(nothing)
+    merged = F.when(F.col("outcome").isin("resolved", "unvalidated"), merged_headers(F.col("prior.headers"), update))
     return x.select("record_id", F.col("key").alias("canonical_url"), "outcome", F.col("prior.record_id").alias("response_id"), merged.alias("headers"))
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl made of a table of pages: each page is a full response, revisited an hour later and, where
-    its id is even, half a minute before. Some validators are weak, stale or missing."""
+    its id is even, half a minute before. Some validators are weak, stale or missing. A page without an id gives records
+    without id and time."""
     i, digest = F.col("page_id"), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 8)
     quoted = F.concat(F.lit('"'), digest, F.lit('"'))
     modified = F.when(i % 4 != 0, F.concat(F.lit("day-"), F.floor(i / 3).cast("string")))
@@ -110,7 +115,7 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         record(1, "revisit", late, again, modified_again, answer(late)),
         F.when(i % 2 == 0, record(2, "revisit", early, again, modified_again, answer(early))),
     )
-    return pages.where("page_id is not null").select("url", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("url", "r.*")
+    return pages.select("url", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("url", "r.*")
 
 
 def resolved_pages(pages: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def resolved_pages(pages: DataFrame) -> DataFrame:
 SQL = r"""
 with p as (
   select page_id as i, url, substr(md5(coalesce(html, '')), 1, 8) as digest, strlen(coalesce(html, '')) as size
-  from pages where page_id is not null
+  from pages
 ), u as (
   select *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from p
 ), parts as (
@@ -142,7 +147,7 @@ with p as (
     case when i % 5 <> 0 then case when i % 7 = 0 then '"stale"' else '"' || digest || '"' end end as again
   from c
 ), responses as (
-  select 4 * i as response_id, key as r_key, i * 60 as r_ts, etag as r_etag, modified as r_modified, size as r_size from k
+  select 4 * i as response_id, key as r_key, i * 60 as r_ts, etag as r_etag, modified as r_modified, size as r_size from k where i is not null
 ), revisits as (
   select 4 * i + 1 as record_id, key, i * 60 + 3600 as ts, again, case when i % 11 = 0 then 'day-x' else modified end as modified, i from k
   union all
@@ -159,7 +164,8 @@ with p as (
 )
 select record_id, key as canonical_url, outcome, response_id,
   case when outcome in ('resolved', 'unvalidated') then
-    'cache-control: max-age=' || cast(i % 10 as varchar) || chr(10) || 'content-length: ' || cast(r_size as varchar) || chr(10)
-    || 'content-type: text/html' || chr(10) || 'date: ' || cast(ts as varchar) || chr(10) || 'x-cache: MISS' end as headers
+    case when outcome = 'resolved' then 'cache-control: max-age=' || cast(i % 10 as varchar) || chr(10) else '' end
+    || 'content-length: ' || cast(r_size as varchar) || chr(10) || 'content-type: text/html' || chr(10)
+    || 'date: ' || cast(case when outcome = 'resolved' then ts else r_ts end as varchar) || chr(10) || 'x-cache: MISS' end as headers
 from o
 """
