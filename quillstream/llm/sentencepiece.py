@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi (operator 3).
 
-Texts fall apart into words (a run of white space marks and what follows); distinct words of equal
+Texts fall apart into words (a run of white space marks and what follows), and long words where no piece can reach
+across: between two characters that no piece has side by side. Distinct words of equal
 length advance together through the lattice, one position at a time. All substrings that end at a
 position are hashed from prefix hashes, the hashes probe the sorted keys of the model's pieces, and
-a vectorised maximum over the lengths stores the backpointer.
+a vectorised maximum over the lengths stores the backpointer. Where fewer than FEW words share a length, the same
+lattice is walked in plain loops, which costs them less than numpy's calls: a text of a million letters is one word.
 
-Two kinds of model are read. Unigram: the maximum is over the sum of piece scores. BPE: the lattice
+Two kinds of model are read. Unigram: the maximum is over the sum of piece scores. BPE, the kind of the public model
+that the query uses: a merge order has no sums to maximise, so the lattice
 keeps an arc only if merging by rank could leave its two pieces side by side; then exactly one arc
-enters each position, the path is the merge result, and ids equal the library's own.
+enters each position (the maximum is over one true value), the path is the merge result, and ids equal the library's own.
 
-Defined results: null is encoded as the empty text, the empty text has no ids. Characters outside
-the vocabulary become byte pieces (or <unk> where the model has none). Decoding gives the text back,
-except that a white-space mark U+2581 in the text comes back as a space.
+Defined results: null is encoded as the empty text, the empty text has no ids; texts of any length are encoded
+whole. Characters outside the vocabulary become byte pieces (or <unk> where the model has none). Decoding gives the text
+back, except that a white-space mark U+2581 in the text comes back as a space. Repeated rows stay, an empty table gives
+an empty result, and columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +39,10 @@ WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 75_000  # distinct words of each of two generations that a Python worker keeps
 UPPER = 18  # bits of a key that say where its probe starts
-CACHED_PAIRS = 1 << 20  # slots for pairs of pieces whose fit is known
+CACHED_PAIRS = 1 << 18  # slots for pairs of pieces whose fit is known
+FEW = 24  # words of one length that are worth numpy's calls
+LONG = 48  # characters of a word that is cut where no piece can reach across
+CACHED_RUN = 1 << 12  # marks of a run whose ids are kept
 NO_PIECE, OUTSIDE = -1, -2
 LAST_RANK = np.int64(1) << 40
 
@@ -56,6 +64,13 @@ class Model:
     halves: np.ndarray  # the two pieces that a piece is merged from
     pair_keys: np.ndarray  # left * size + right of those, sorted
     pair_ranks: np.ndarray
+    reached: dict[str, int]  # the pieces that can end up in a result
+    ends: dict[str, int]  # the last two characters of pieces: length of the longest such piece
+    inner: np.ndarray  # pairs of characters that stand side by side in some piece, sorted
+
+    def plain(self) -> tuple[list[int], list[int], list[int], dict[int, int]]:
+        """rank, both halves and the ranks of pairs, for plain loops."""
+        return self.rank.tolist(), *self.halves.T.tolist(), dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -78,13 +93,36 @@ def _codes(words: list[str]) -> np.ndarray:
 
 def _merge(word: str, ids: dict[str, int], priority: np.ndarray) -> list[str]:
     """Merge adjacent symbols, the best-scored pair first and the leftmost of equals."""
-    parts = list(word)
-    while len(parts) > 1:
-        best = min(((-priority[i], k) for k in range(len(parts) - 1) if (i := ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-        if best is None:
-            break
-        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-    return parts
+    parts: list[str] = list(word)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    waiting: list[tuple[float, int, int]] = []  # score, place of the left symbol, length of both together
+
+    def offer(k: int) -> None:
+        if k >= 0 and after[k] < len(parts):
+            both = parts[k] + parts[after[k]]
+            if (i := ids.get(both)) is not None:
+                heapq.heappush(waiting, (-float(priority[i]), k, len(both)))
+
+    for k in range(len(parts)):
+        offer(k)
+    while waiting:
+        _, k, size = heapq.heappop(waiting)
+        j = after[k]
+        if not parts[k] or j >= len(parts) or len(parts[k]) + len(parts[j]) != size:
+            continue  # one of the two has merged since
+        parts[k] += parts[j]
+        parts[j] = ""
+        after[k] = after[j]
+        if after[k] < len(parts):
+            before[after[k]] = k
+        offer(before[k])
+        offer(k)
+    return [x for x in parts if x]
+
+
+def _bigrams(codes: np.ndarray) -> np.ndarray:
+    """Two neighbouring code points in one number."""
+    return (codes[..., :-1] << np.uint64(21)) | codes[..., 1:]
 
 
 @lru_cache(maxsize=2)
@@ -140,7 +178,15 @@ def load(path: str = MODEL) -> Model:
     by_pair = np.argsort(pairs)
     fallback = byte_ids if sp.piece_to_id("<0x00>") != sp.unk_id() else None
     first = np.searchsorted(keys[order] >> np.uint64(64 - UPPER), np.arange((1 << UPPER) + 1)).astype(np.int32)
-    return Model(pieces, ids, bpe, keys[order], key_ids[order], first, first[1:] > first[:-1], scores, max(by_length), fallback, sp.unk_id(), rank, halves, pairs[by_pair], rank[made][by_pair])
+    known = {pieces[i]: i for i in reached}
+    ends: dict[str, int] = {}
+    for x in known:
+        if len(x) > 1:
+            ends[x[-2:]] = max(len(x), ends.get(x[-2:], 0))
+    # Runs of marks are pieces too, though they don't come up in the lattice.
+    side_by_side = {x[k : k + 2] for x in ids for k in range(len(x) - 1)}
+    inner = np.sort(_bigrams(_codes(sorted(side_by_side)))[:, 0])
+    return Model(pieces, ids, bpe, keys[order], key_ids[order], first, first[1:] > first[:-1], scores, max(by_length), fallback, sp.unk_id(), rank, halves, pairs[by_pair], rank[made][by_pair], known, ends, inner)
 
 
 def _probe(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
@@ -264,6 +310,80 @@ def viterbi(m: Model, words: list[str], fits: Fits) -> tuple[np.ndarray, np.ndar
     return piece[:, 1:], on_path
 
 
+class Walk:
+    """The lattice of one word in plain loops: the same path as viterbi()."""
+
+    def __init__(self, model: Model):
+        self.m, self.size = model, len(model.pieces)
+        self.rank, self.left, self.right, self.pairs = model.plain()
+        self.fits: dict[int, bool] = {}
+        self.worst = float(model.scores.min()) - 10.0
+        self.scores = model.scores.tolist()
+
+    def _fit(self, x: int, y: int) -> bool:
+        """_neighbours() of two pieces."""
+        until_x = until_y = int(LAST_RANK)
+        while True:
+            r = self.pairs.get(x * self.size + y)
+            if r is not None and r < until_x and r <= until_y:
+                return False
+            if self.rank[x] >= self.rank[y] and self.left[x] >= 0:
+                until_x, x = self.rank[x], self.right[x]
+            elif self.left[y] >= 0:
+                until_y, y = self.rank[y], self.left[y]
+            else:
+                return True
+
+    def _last(self, word: str) -> tuple[list[int], list[int]]:
+        """The piece that ends at each position, and its length."""
+        m, fits, size = self.m, self.fits, self.size
+        reached, ends = m.reached, m.ends
+        piece, step = [OUTSIDE] * (len(word) + 1), [1] * (len(word) + 1)
+        total = [0.0] * (len(word) + 1)
+        if len(fits) > CACHED_PAIRS // 4:
+            fits.clear()
+        for i in range(1, len(word) + 1):
+            j = reached.get(word[i - 1])
+            most = min(i, ends.get(word[i - 2 : i], 1)) if i > 1 else 1
+            if m.bpe:
+                k = 1
+                while j is not None:  # a character that is no piece stays alone
+                    before = piece[i - k]
+                    if k == i or before < 0:
+                        break
+                    pair = before * size + j
+                    ok = fits.get(pair)
+                    if ok is None:
+                        ok = fits[pair] = self._fit(before, j)
+                    if ok:
+                        break
+                    j = None
+                    while j is None:
+                        k += 1
+                        if k > most:
+                            raise ValueError("a word has no path")
+                        j = reached.get(word[i - k : i])
+                piece[i], step[i] = OUTSIDE if j is None else j, k
+            else:
+                best = total[i - 1] + (self.worst if j is None else self.scores[j])
+                piece[i] = OUTSIDE if j is None else j
+                for k in range(2, most + 1):
+                    j = reached.get(word[i - k : i])
+                    if j is not None and total[i - k] + self.scores[j] > best:
+                        best, piece[i], step[i] = total[i - k] + self.scores[j], j, k
+                total[i] = best
+        return piece, step
+
+    def path(self, word: str) -> list[tuple[int, int]]:
+        """(piece, its end) in order; OUTSIDE for a character that is no piece."""
+        piece, step = self._last(word)
+        at, out = len(word), []
+        while at > 0:
+            out.append((piece[at], at))
+            at -= step[at]
+        return out[::-1]
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
@@ -274,6 +394,7 @@ class Encoder:
     def __init__(self, path: str = MODEL):
         self.model = load(path)
         self.fits = Fits(self.model)
+        self.walk = Walk(self.model)
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
         self.older: dict[str, bytes] = {}  # the generation before: what is met again moves on
         self.runs: dict[int, bytes] = {}
@@ -281,15 +402,17 @@ class Encoder:
 
     def _run(self, n: int) -> bytes:
         """Ids of n marks alone."""
-        if n not in self.runs:
+        found = self.runs.get(n)
+        if found is None:
             m = self.model
             if m.bpe:
-                parts = _merge(MARK * n, m.ids, m.scores) if n <= 64 else [MARK * 16] * (n // 16 - 2) + _merge(MARK * (n % 16 + 32), m.ids, m.scores)
-                self.runs[n] = _packed([m.ids[p] for p in parts])
+                found = _packed([m.ids[p] for p in _merge(MARK * n, m.ids, m.scores)])
             else:
                 self._learn([MARK * n])
-                self.runs[n] = self.known[MARK * n]
-        return self.runs[n]
+                found = self.known[MARK * n]
+            if n <= CACHED_RUN:
+                self.runs[n] = found
+        return found
 
     def _outside(self, character: str) -> tuple[int, ...]:
         m = self.model
@@ -301,6 +424,10 @@ class Encoder:
         for x in words:
             by_length.setdefault(len(x), []).append(x)
         for length, group in by_length.items():
+            if len(group) < FEW:
+                for x in group:
+                    self._learn_one(x)
+                continue
             rows = max(1, (1 << 17) // length)
             for k in range(0, len(group), rows):
                 self._learn(group[k : k + rows])
@@ -317,8 +444,25 @@ class Encoder:
                 ids.extend((int(piece[r, k]),) if piece[r, k] >= 0 else self._outside(words[r][k]))
             self.known[words[r]] = _packed(ids)
 
+    def _learn_one(self, word: str) -> None:
+        ids: list[int] = []
+        for piece, end in self.walk.path(word):
+            ids.extend((piece,) if piece >= 0 else self._outside(word[end - 1]))
+        self.known[word] = _packed(ids)
+
+    def _cut(self, word: str) -> list[str]:
+        """A word's parts between characters that no piece has side by side: each is encoded as if alone."""
+        pairs = _bigrams(_codes([word])[0])
+        inner = self.model.inner
+        at = np.minimum(np.searchsorted(inner, pairs), len(inner) - 1)
+        places = [0, *(np.flatnonzero(inner[at] != pairs) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(places, places[1:])]
+
     def _words(self, text: str) -> list[str]:
-        return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        found = WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not any(len(x) > LONG for x in found):
+            return found
+        return [y for x in found for y in (self._cut(x) if len(x) > LONG else (x,))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         m, known = self.model, self.known
@@ -333,13 +477,15 @@ class Encoder:
         fresh.difference_update(known)
         # In BPE a run of marks merges last of all; only its last mark belongs to the word, see _led.
         led = {y for y in fresh if y[:2] == MARK * 2 or y == MARK} if m.bpe else set()
-        behind = {MARK + x for y in led if (x := y.lstrip(MARK))}
+        behind: set[str] = {MARK + x for y in led if (x := y.lstrip(MARK))}
         self.learn((fresh - led) | (behind - known.keys()))
         for y in led:
             known[y] = self._led(y)
         out = []
         for x in split:
             out.append(np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32))
+        for y in [y for y in fresh if len(y) > LONG] + [y for y in behind if len(y) > LONG]:
+            known.pop(y, None)  # the cache is bounded in words, so they have to be short
         return out
 
     def _led(self, word: str) -> bytes:

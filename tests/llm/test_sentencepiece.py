@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -26,6 +27,57 @@ def test_ids_are_the_library_s(encoder, own):
     assert [x.tolist() for x in encoder.encode(texts)] == own.encode(texts)
 
 
+def long_texts():
+    draw = random.Random(11)
+    pick = lambda x, n: "".join(draw.choices(x, k=n))
+    return {
+        "Japanese": pick("日本語処理文章空白東京大学人工知能のはにをがですます。", 330_000), "letters": pick("etaoinshrdlu", 250_000), "one letter": "x" * 250_000,
+        "base64": pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 250_000), "marks": " " * 250_000, "marks and letters": "a" + " " * 100_001 + "b" * 30_000,
+        "outside": pick("😀é𝄞𓀀", 60_000), "words joined": "thequickbrownfoxjumpsover" * 8_000,
+    }
+
+
+@pytest.mark.parametrize("kind", long_texts())
+def test_long_texts_without_spaces(kind, encoder, own):
+    """Ids are the library's, at no more than 5 seconds a megabyte."""
+    text = long_texts()[kind]
+    began = time.perf_counter()
+    ids = encoder.encode([text])[0].tolist()
+    seconds = time.perf_counter() - began
+    assert ids == own.encode(text)
+    assert seconds < 5 * max(1, len(text.encode()) / 1e6)
+    assert not any(len(w) > sp.LONG for w in encoder.known)
+
+
+def test_plain_loops_and_numpy_walk_the_same_lattice(encoder, own, monkeypatch):
+    draw = random.Random(5)
+    words = sorted({sp.MARK + "".join(draw.choice("aeinrstlXY12é日") for _ in range(draw.randint(1, 14))) for _ in range(3000)})
+    packed = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(sp, "FEW", few)
+        e = sp.Encoder()
+        e.learn(set(words))
+        packed.append([e.known[w] for w in words])
+    assert packed[0] == packed[1]
+
+
+def test_runs_of_marks(encoder):
+    """The heap merges like a search for the best pair at every step."""
+    m = encoder.model
+
+    def slow(word):
+        parts = list(word)
+        while True:
+            best = min(((-m.scores[i], k) for k in range(len(parts) - 1) if (i := m.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
+            if best is None:
+                return parts
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    draw = random.Random(6)
+    for word in [sp.MARK * n for n in range(1, 150)] + ["".join(draw.choice("aeinrst▁") for _ in range(40)) for _ in range(200)]:
+        assert sp._merge(word, m.ids, m.scores) == slow(word)
+
+
 def test_documents_encode_and_come_back(encoder, own, duck):
     texts = [t for (t,) in duck.execute("select text from documents").fetchall()]
     ids = [x.tolist() for x in encoder.encode(texts)]
@@ -50,6 +102,9 @@ def test_unigram_path_is_the_best_one(encoder):
     model = replace(m, bpe=False, scores=scores)
     words = ["".join(draw.choice("aeinrst▁") for _ in range(9)) for _ in range(60)]
     piece, on_path = sp.viterbi(model, words, sp.Fits(model))
+    walk = sp.Walk(model)
+    for r, w in enumerate(words):
+        assert [p for p, _ in walk.path(w)] == piece[r][on_path[r]].tolist()
     reached = set(m.key_ids.tolist())
     worst = scores.min() - 10
     for r, w in enumerate(words):
