@@ -10,12 +10,14 @@ with the sigmoid loss, so the toxic texts among the unlabelled ones are not lear
 class prior is the share of toxic texts among the labelled training rows. A text's score adds up
 word scores, so scoring is one dictionary look-up for each distinct word and never cuts a text.
 
-The classifier is fitted on bounded samples (the POSITIVES confirmed and the UNLABELLED among
-all documents with the least hashed ids, at most SAMPLE_WORDS distinct words each); all else covers every row.
-
-Defined results: null and empty texts have no words and score as the bias alone; without a
-confirmed toxic text nothing is toxic (score 0); repeated rows stay; an empty table gives an empty
-result. Only `text` is an input of a score.
+The classifier is fitted on bounded samples: the POSITIVES confirmed texts and the UNLABELLED among all documents with the
+least hashed ids, each read whole. Features are counted and chosen where the texts are; the driver gets at most
+FEATURES of them and the sample's sparse rows over these. All else covers every row.
+
+Defined results: null and empty texts have no words and score as the bias alone; texts of any length are read whole;
+without a confirmed toxic text nothing is toxic (score 0); repeated rows stay; an empty table gives an empty
+result. Only `text` is an input of a score; further columns are ignored (reject_toxic passes them through), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fold, sample_ids, tidy, whole_text
+from .common import bound_batches, fold, materialize, sample_ids, tidy, whole_text
 
-POSITIVES, UNLABELLED, SAMPLE_WORDS = 2000, 5000, 4000
+POSITIVES, UNLABELLED = 2000, 5000
 MIN_PREFIX, MAX_PREFIX = 3, 8
 FEATURES = 1024
+LEAST_TEXTS = 3  # positive texts that have a feature
+SAMPLE_FILES = 8
 EVIDENCE = 4.0  # standard errors by which a feature must be more frequent in toxic texts
 STEPS, RATE = 400, 0.1
 DECAY = 0.02  # of the weights, divided by the number of positive texts
@@ -78,27 +82,49 @@ class Classifier:
 NOTHING = Classifier({}, -500.0)
 
 
-def _matrix(texts: list[set[str]], index: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(texts), len(index)), np.float32)
-    for i, found in enumerate(texts):
-        for w in found:
-            for f in features(w):
-                if (j := index.get(f)) is not None:
-                    x[i, j] += 1
-    return x
+@dataclass(frozen=True)
+class Sparse:
+    """A matrix by its entries; the last column is the constant one."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, counts: list[dict[int, int]], width: int) -> Sparse:
+        lengths = [len(c) + 1 for c in counts]
+        columns = np.array([j for c in counts for j in (*c, width)], np.int64)
+        values = np.array([v for c in counts for v in (*c.values(), 1)], np.float64)
+        return cls(np.repeat(np.arange(len(counts)), lengths), columns, values, (len(counts), width + 1))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], self.shape[0])
 
+    def mean_by_column(self, per_row: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * per_row[self.rows], self.shape[1]) / max(1, self.shape[0])
 
-def select_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """The features with the strongest evidence of being more frequent in positive texts."""
+
+def feature_counts(text: str, index: dict[str, int]) -> dict[int, int]:
+    """How many distinct words of the text have each of the indexed features."""
+    out: Counter = Counter()
+    for w in words(text):
+        out.update(j for f in features(w) if (j := index.get(f)) is not None)
+    return dict(sorted(out.items()))
+
+
+def select_features(positive: list[str], unlabelled: list[str]) -> list[str]:
+    """The features with the strongest evidence of being more frequent in positive texts, of texts at hand."""
     in_p: Counter = Counter()
-    for found in positive:
-        in_p.update({f for w in found for f in features(w)})
-    in_p = Counter({f: n for f, n in in_p.items() if n >= 3})
+    for text in positive:
+        in_p.update({f for w in words(text) for f in features(w)})
     in_u: Counter = Counter()
-    for found in unlabelled:
-        in_u.update({f for w in found for f in features(w)} & in_p.keys())
+    for text in unlabelled:
+        in_u.update({f for w in words(text) for f in features(w)} & in_p.keys())
     chosen = []
     for f, n in in_p.items():
+        if n < LEAST_TEXTS:
+            continue
         p, u = n / len(positive), in_u[f] / max(1, len(unlabelled))
         pooled = (n + in_u[f] + 1) / (len(positive) + len(unlabelled) + 2)
         z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / max(1, len(unlabelled))))
@@ -107,76 +133,111 @@ def select_features(positive: list[set[str]], unlabelled: list[set[str]]) -> lis
     return [f for _, f in sorted(chosen)[:FEATURES]]
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def _chosen_features(texts: DataFrame, n_positive: int, n_unlabelled: int) -> list[str]:
+    """select_features() of a table (p, text): p is 1 for positive texts, 0 for unlabelled ones."""
+
+    def of(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: list({f for w in words(x) for f in features(w)}))
+
+    each = texts.select("p", F.explode(F.pandas_udf(tidy(of), "array<string>")(F.col("text"))).alias("feature"))
+    found = each.groupBy("feature").agg(F.sum("p").cast("double").alias("n"), F.sum(1 - F.col("p")).cast("double").alias("m")).where(F.col("n") >= LEAST_TEXTS)
+    several = float(max(1, n_unlabelled))
+    p, u = F.col("n") / float(n_positive), F.col("m") / several
+    pooled = (F.col("n") + F.col("m") + 1.0) / float(n_positive + n_unlabelled + 2)
+    z = (p - u) / F.sqrt(pooled * (1.0 - pooled) * (1 / n_positive + 1 / several))
+    found = found.select("feature", z.alias("z"), (p >= 2 * u).alias("more")).where((F.col("z") >= EVIDENCE) & F.col("more"))
+    return [r.feature for r in found.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def risk(w: np.ndarray, positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[float, float]:
+    """The positive and the negative part of the PU risk; loss(g) is sigmoid(-g). The second may come out below zero."""
+    sp, su = _sigmoid(positive.times(w)), _sigmoid(unlabelled.times(w))
+    return prior * (1 - sp).mean(), (su.mean() if len(su) else 0.0) - prior * sp.mean()
+
+
+def risk_gradient(w: np.ndarray, positive: Sparse, unlabelled: Sparse, prior: float) -> np.ndarray:
+    """The direction to go down from: the gradient of both parts, or where the negative part is below zero
+    that of its opposite, which undoes the overfit."""
+    sp, su = _sigmoid(positive.times(w)), _sigmoid(unlabelled.times(w))
+    # The derivative of sigmoid(-g) is -s(1-s), that of sigmoid(g) is s(1-s).
+    slope_p, slope_u = positive.mean_by_column(sp * (1 - sp)), unlabelled.mean_by_column(su * (1 - su))
+    if (su.mean() if len(su) else 0.0) - prior * sp.mean() >= 0:
+        return -prior * slope_p + slope_u - prior * slope_p
+    return prior * slope_p - slope_u
+
+
+def nnpu(positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk, by Adam on the full sample."""
     d = positive.shape[1]
-    w = np.zeros(d + 1)
+    w = np.zeros(d)
     w[-1] = -1.0
-    first, second = np.zeros(d + 1), np.zeros(d + 1)
-    add_one = lambda x: np.hstack((x, np.ones((len(x), 1), np.float32)))
-    positive, unlabelled = add_one(positive), add_one(unlabelled)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    first, second = np.zeros(d), np.zeros(d)
     for t in range(1, STEPS + 1):
-        v = w.astype(np.float32)
-        sp, su = sigmoid(positive @ v), sigmoid(unlabelled @ v)
-        # loss(g) = sigmoid(-g); its derivative by g is -s(1-s), that of loss(-g) is s(1-s).
-        slope_p = positive.T @ (sp * (1 - sp)) / len(positive)
-        slope_u = unlabelled.T @ (su * (1 - su)) / max(1, len(unlabelled))
-        negative_risk = su.mean() - prior * sp.mean() if len(su) else 0.0
-        if negative_risk >= 0:
-            gradient = -prior * slope_p + slope_u - prior * slope_p
-        else:
-            gradient = prior * slope_p - slope_u  # the risk is below zero: undo the overfit part
-        gradient[:-1] += DECAY / len(positive) * w[:-1]
+        gradient = risk_gradient(w, positive, unlabelled, prior)
+        gradient[:-1] += DECAY / positive.shape[0] * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def _trained(chosen: list[str], positive: list[dict[int, int]], unlabelled: list[dict[int, int]], prior: float) -> Classifier:
+    if not chosen:
+        return NOTHING
+    weights, bias = nnpu(Sparse.of(positive, len(chosen)), Sparse.of(unlabelled, len(chosen)), prior)
+    return Classifier({f: float(w) for f, w in zip(chosen, weights, strict=True) if abs(w) > 1e-6}, bias)
+
+
 def fit_texts(positive: list[str], unlabelled: list[str], prior: float) -> Classifier:
     """Train on texts at hand. prior: the share of toxic texts among the unlabelled."""
     if not positive:
         return NOTHING
-    p = [set(sorted(words(x))[:SAMPLE_WORDS]) for x in positive]
-    u = [set(sorted(words(x))[:SAMPLE_WORDS]) for x in unlabelled]
-    chosen = select_features(p, u)
-    if not chosen:
-        return NOTHING
+    chosen = select_features(positive, unlabelled)
     index = {f: i for i, f in enumerate(chosen)}
-    weights, bias = nnpu(_matrix(p, index), _matrix(u, index), prior)
-    return Classifier({f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-6}, bias)
-
+    return _trained(chosen, [feature_counts(x, index) for x in positive], [feature_counts(x, index) for x in unlabelled], prior)
 
-def _distinct_words(text: Column) -> Column:
-    """At most SAMPLE_WORDS distinct words of a text, joined: what a sampled row sends to the driver."""
 
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: " ".join(sorted(words(x))[:SAMPLE_WORDS]))
-
-    return F.pandas_udf(tidy(of), "string")(text)
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Classifier:
-    """Train on docs (doc_id, text) and labels (doc_id, toxic); only rows where `learn` holds are used.
+def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[DataFrame, float]:
+    """The rows to fit on, (doc_id, p, text), and the class prior; rows that share an id count once.
 
     Several labels of one document count as toxic if any does; null labels count as none.
     """
-    bound_batches(docs.sparkSession)
-    learn = fold(F.col("doc_id")) != 0 if learn is None else learn
     toxic = labels.where("toxic is not null and doc_id is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = toxic.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    if not counts.toxic:
-        return NOTHING
     chosen = sample_ids(toxic.where("toxic = 1"), POSITIVES).withColumn("p", F.lit(1))
     # A sample of all texts: among them the prior is the same as among the labelled ones.
     unlabelled = sample_ids(docs.select("doc_id").where(learn), UNLABELLED).withColumn("p", F.lit(0))
-    # Both samples are bounded, so this side is broadcast. Rows that share an id count once.
+    # Both samples are bounded, so this side is broadcast.
     ids = F.broadcast(chosen.union(unlabelled))
-    found = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "p", _distinct_words(whole_text()).alias("w"))
-    rows = found.groupBy("doc_id", "p").agg(F.min("w").alias("w")).collect()
-    of = lambda p: sorted(r.w for r in rows if r.p == p)
-    return fit_texts(of(1), of(0), float(counts.toxic / counts.n))
+    found = docs.select("doc_id", whole_text().alias("text")).join(ids, "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text"))
+    return found, float((counts.toxic or 0) / max(1, counts.n))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Classifier:
+    """Train on docs (doc_id, text) and labels (doc_id, toxic); only rows where `learn` holds are used."""
+    bound_batches(docs.sparkSession)
+    texts, prior = sample(docs, labels, fold(F.col("doc_id")) != 0 if learn is None else learn)
+    if not prior:
+        return NOTHING
+    texts = materialize(texts, "sample", SAMPLE_FILES)
+    size = {r.p: r["count"] for r in texts.groupBy("p").count().collect()}
+    if not size.get(1):
+        return NOTHING
+    chosen = _chosen_features(texts, size[1], size.get(0, 0))
+    index = {f: i for i, f in enumerate(chosen)}
+
+    def counted(batch: pd.Series) -> pd.DataFrame:
+        rows = [feature_counts(x, index) for x in batch]
+        return pd.DataFrame({"columns": [list(r) for r in rows], "counts": [list(r.values()) for r in rows]})
+
+    entries = F.pandas_udf(tidy(counted), "columns array<int>, counts array<int>")(F.col("text"))
+    rows = texts.select("doc_id", "p", entries.alias("x")).select("doc_id", "p", "x.*").orderBy("doc_id").collect()
+    of = lambda p: [dict(zip(r["columns"], r.counts, strict=True)) for r in rows if r.p == p]
+    return _trained(chosen, of(1), of(0), prior)
 
 
 def probability(text: Column, classifier: Classifier) -> Column:
