@@ -1,11 +1,14 @@
 """Media columns for ISO base media files (operator 1).
 
 `store` writes bytes into a small ISO media file; `inspect` walks the nested boxes of any such
-file, decodes its sample tables and reports codec, duration and the byte ranges of the sync
-samples (keyframes). The payload is never decoded; `sample_bytes` copies it out by byte range.
-
-Defined results: a null file gives a null row; bytes that are no ISO media file give the reason
-in `error` and nulls elsewhere; a file without stss has only sync samples.
+file, decodes the sample tables of every track (and the runs of movie fragments) and reports codec, duration and the byte
+ranges of the sync samples (keyframes). The payload is never decoded; `sample_bytes` copies it out by byte range.
+
+Defined results: a null file gives a null row; bytes that are no ISO media file, or whose tables contradict each other,
+give the reason in `error` and nulls elsewhere; a file without stss has only sync samples; a file is reported by its
+first track with samples, and all tracks are in `tracks`. Files of any length are read whole; null texts count as empty,
+repeated rows stay, an empty table gives an empty result, columns of any name pass through media_columns (one named
+like its result is replaced) and are ignored by the query.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ TIMESCALE = 8000
 
 #: Boxes that hold boxes, and the bytes before the first child where there are any.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"dinf": 0, b"meta": 4}
+#: Flags of a fragment's headers, and the bit of a sample's flags that says it isn't a sync sample.
+BASE_OFFSET, HAS_DESCRIPTION, HAS_DURATION, HAS_SIZE, HAS_FLAGS, BASE_IS_MOOF = 1, 2, 8, 16, 32, 0x20000
+RUN_OFFSET, FIRST_FLAGS, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_TIME = 1, 4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
 
-INFO = "codec string, handler string, timescale long, duration long, seconds double, samples long, keyframes long, keyframe_ranges array<struct<offset:long,length:long>>, error string"
+TRACK = "codec string, handler string, timescale long, duration long, seconds double, samples long, keyframes long, keyframe_ranges array<struct<offset:long,length:long>>"
+INFO = f"{TRACK}, error string, tracks array<struct<{TRACK.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -97,7 +105,9 @@ def walk(data: bytes, start: int = 0, end: int | None = None, depth: int = 0):
             raise ValueError(f"box {kind!r} at {start} has a bad size")
         yield depth, kind, body, start + size
         if kind in CONTAINERS:
-            yield from walk(data, body + CONTAINERS[kind], start + size, depth + 1)
+            # QuickTime's meta box has no version: its first child starts at once.
+            skip = 0 if kind == b"meta" and data[body + 4 : body + 8] == b"hdlr" else CONTAINERS[kind]
+            yield from walk(data, body + skip, start + size, depth + 1)
         start += size
     if start != end:
         raise ValueError("bytes left after the last box")
@@ -113,11 +123,13 @@ def _track(data: bytes, kind: bytes, at: int, end: int, track: dict) -> None:
     """Decode one box of a track into track."""
     u4 = lambda where: struct.unpack_from(">I", data, where)[0]
     at4 = at + 4
-    if kind in (b"mdhd", b"mvhd"):
+    if kind == b"tkhd":
+        track["id"] = u4(at4 + (16 if data[at] == 1 else 8))
+    elif kind in (b"mdhd", b"mvhd"):
         version = data[at]
         track[kind] = struct.unpack_from(">IQ", data, at4 + 16) if version == 1 else struct.unpack_from(">II", data, at4 + 8)
     elif kind == b"hdlr":
-        track["handler"] = data[at4 + 4 : at4 + 8].decode("latin-1")
+        track.setdefault("handler", data[at4 + 4 : at4 + 8].decode("latin-1"))  # QuickTime has another one for the data
     elif kind == b"stsd" and u4(at4):
         track["codec"] = data[at4 + 8 : at4 + 12].decode("latin-1")
     elif kind == b"stts":
@@ -159,36 +171,112 @@ def _layout(track: dict) -> tuple[np.ndarray, np.ndarray]:
     return chunks[chunk_of] + before - before[np.minimum(starts, len(sizes) - 1)][chunk_of], np.asarray(sizes)
 
 
+def _fragment_head(data: bytes, at: int, moof: int, end_before: int, defaults: dict[int, dict]) -> dict:
+    """What a tfhd box says: track, where its data begin, and defaults."""
+    flags, track = int.from_bytes(data[at + 1 : at + 4]), struct.unpack_from(">I", data, at + 4)[0]
+    out = {"track": track, **defaults.get(track, {})}
+    at += 8
+    out["base"] = moof if flags & BASE_IS_MOOF else end_before
+    if flags & BASE_OFFSET:
+        (out["base"],) = struct.unpack_from(">Q", data, at)
+        at += 8
+    for flag, name in ((HAS_DESCRIPTION, "description"), (HAS_DURATION, "duration"), (HAS_SIZE, "size"), (HAS_FLAGS, "flags")):
+        if flags & flag:
+            (out[name],) = struct.unpack_from(">I", data, at)
+            at += 4
+    out["next"] = out["base"]
+    return out
+
+
+def _run(data: bytes, at: int, end: int, head: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes and sync marks of a trun box, and its duration."""
+    flags, n = int.from_bytes(data[at + 1 : at + 4]), struct.unpack_from(">I", data, at + 4)[0]
+    at += 8
+    first_flags, start = None, head["next"]
+    if flags & RUN_OFFSET:
+        start = head["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & FIRST_FLAGS:
+        (first_flags,) = struct.unpack_from(">I", data, at)
+        at += 4
+    fields = [name for flag, name in ((RUN_DURATION, "duration"), (RUN_SIZE, "size"), (RUN_FLAGS, "flags"), (RUN_TIME, "time")) if flags & flag]
+    if n > len(data):
+        raise ValueError("more samples than bytes")
+    table = _numbers(data, at, end, n * len(fields)).reshape(n, len(fields))
+    column = lambda name: table[:, fields.index(name)] if name in fields else np.full(n, head.get(name, 0), np.int64)
+    sizes, marks = column("size"), column("flags").copy()
+    if n and first_flags is not None and "flags" not in fields:
+        marks[0] = first_flags
+    if n and "size" not in fields and "size" not in head:
+        raise ValueError("a fragment's samples have no size")
+    head["next"] = start + int(sizes.sum())
+    return start + np.cumsum(sizes) - sizes, sizes, marks & NOT_SYNC == 0, int(column("duration").sum())
+
+
+def _track_info(track: dict, movie: dict, length: int) -> dict:
+    """What is reported of a track."""
+    offsets, sizes = _layout(track)
+    n = len(sizes)
+    sync = track["stss"] - 1 if "stss" in track else np.arange(n)
+    if len(sync) and (sync.min() < 0 or sync.max() >= n):
+        raise ValueError("a sync sample doesn't exist")
+    scale, duration = track.get(b"mdhd") or movie.get(b"mvhd") or (0, 0)
+    if "stts" in track:
+        duration = int((track["stts"][:, 0] * track["stts"][:, 1]).sum()) or duration
+    for run_offsets, run_sizes, marks, lasts in track.get("runs", ()):
+        sync = np.concatenate((sync, n + np.flatnonzero(marks)))
+        offsets, sizes = np.concatenate((offsets, run_offsets)), np.concatenate((sizes, run_sizes))
+        n, duration = len(sizes), duration + lasts
+    if n and ((offsets + sizes).max() > length or offsets.min() < 0):
+        raise ValueError("samples lie beyond the end of the file")
+    return {"codec": track.get("codec"), "handler": track.get("handler"), "timescale": scale, "duration": duration, "seconds": duration / scale if scale else None, "samples": n, "keyframes": len(sync), "key_offsets": offsets[sync], "key_sizes": sizes[sync], "offsets": offsets, "sizes": sizes}
+
+
 def inspect(data: bytes | None) -> dict | None:
-    """Codec, duration, sample and keyframe byte ranges of the first track that has samples.
+    """Codec, duration, sample and keyframe byte ranges of the first track that has samples, and in `tracks` of each.
 
-    A ValueError or a cut-off table is reported in `error`, all else then is null.
+    Samples of movie fragments come after those of the track's own tables. A ValueError or a cut-off table is reported
+    in `error`, all else then is null.
     """
     if data is None:
         return None
     try:
         tracks: list[dict] = []
         movie: dict = {}
+        defaults: dict[int, dict] = {}
+        moof, head, end_before, end_of_meta = 0, None, 0, 0
         for _, kind, at, end in walk(data):
             if kind == b"trak":
                 tracks.append({})
             elif kind == b"mvhd":
                 _track(data, kind, at, end, movie)
-            elif tracks:
+            elif kind == b"trex":
+                track, _, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+                defaults[track] = {"duration": duration, "size": size, "flags": flags} if size else {"duration": duration, "flags": flags}
+            elif kind == b"moof":
+                wide = data[at - 16 : at - 8] == b"\0\0\0\1moof"
+                moof = end_before = at - (16 if wide else 8)
+                head = None
+            elif kind == b"meta":
+                end_of_meta = end
+            elif kind == b"traf":
+                head = None
+            elif kind == b"tfhd":
+                head = _fragment_head(data, at, moof, end_before, defaults)
+            elif kind == b"trun":
+                if head is None:
+                    raise ValueError("a run of samples has no track")
+                own = next((t for t in tracks if t.get("id") == head["track"]), None)
+                if own is None:
+                    raise ValueError("a run of samples has no track")
+                own.setdefault("runs", []).append(_run(data, at, end, head))
+                end_before = head["next"]  # where the next track's data begin, if it doesn't say
+            elif tracks and not (kind == b"hdlr" and at < end_of_meta):
                 _track(data, kind, at, end, tracks[-1])
         if not tracks:
             raise ValueError("no track")
-        track = next((t for t in tracks if len(t.get("sizes", ()))), tracks[0])
-        offsets, sizes = _layout(track)
-        if len(offsets) and (offsets[-1] + sizes[-1] > len(data) or offsets.min() < 0):
-            raise ValueError("samples lie beyond the end of the file")
-        sync = track["stss"] - 1 if "stss" in track else np.arange(len(sizes))
-        if len(sync) and (sync.min() < 0 or sync.max() >= len(sizes)):
-            raise ValueError("a sync sample doesn't exist")
-        scale, length = track.get(b"mdhd") or movie.get(b"mvhd") or (0, 0)
-        if "stts" in track:
-            length = int((track["stts"][:, 0] * track["stts"][:, 1]).sum()) or length
-        return {"codec": track.get("codec"), "handler": track.get("handler"), "timescale": scale, "duration": length, "seconds": length / scale if scale else None, "samples": len(sizes), "keyframes": len(sync), "key_offsets": offsets[sync], "key_sizes": sizes[sync], "offsets": offsets, "sizes": sizes, "error": None}
+        found = [_track_info(t, movie, len(data)) for t in tracks]
+        return next((t for t in found if t["samples"]), found[0]) | {"tracks": found, "error": None}
     except (ValueError, struct.error, IndexError) as e:
         return {"error": str(e) or "malformed"}
 
@@ -211,12 +299,17 @@ def _stored(text: pd.Series) -> pd.Series:
     return text.map(lambda x: store(pad(x.encode("utf-8"))))
 
 
+NAMES = ("codec", "handler", "timescale", "duration", "seconds", "samples", "keyframes")
+
+
 def _inspected(media: pd.Series) -> pd.DataFrame:
+    whole = lambda x: {**{k: x.get(k) for k in NAMES}, "keyframe_ranges": None if "key_offsets" not in x else _ranges(x)}
     rows = []
     for x in map(inspect, media):
         x = x or {}
-        rows.append([x.get(k) for k in ("codec", "handler", "timescale", "duration", "seconds", "samples", "keyframes")] + [None if "key_offsets" not in x else _ranges(x), x.get("error")])
-    return pd.DataFrame(rows, columns=["codec", "handler", "timescale", "duration", "seconds", "samples", "keyframes", "keyframe_ranges", "error"]).astype({k: "Int64" for k in ("timescale", "duration", "samples", "keyframes")})
+        rows.append({**whole(x), "error": x.get("error"), "tracks": [whole(t) for t in x["tracks"]] if x.get("tracks") else None})
+    columns = [*NAMES, "keyframe_ranges", "error", "tracks"]
+    return pd.DataFrame(rows, columns=columns).astype({k: "Int64" for k in ("timescale", "duration", "samples", "keyframes")})
 
 
 DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration long, keyframe_ranges array<struct<offset:long,length:long>>"
