@@ -1,19 +1,24 @@
 """Document fingerprints by Order MinHash (operator 5), with DataFrame functions only.
 
-A text is a sequence of words (runs without white space, cut after WORD_LENGTH characters, so that
-text without spaces has many). Its k-mers are K words in a row, numbered by occurrence, so that a
-repeated one counts each time. Each numbered k-mer has a random rank; the ranks fall into SLOTS
-ranges, and in each range the TUPLE least ones are selected, put back into their order in the
-text, and hashed together. Two texts agree in a slot if they share the same k-mers in the same order,
-so the share of agreeing slots falls with the edit distance and not only with the shared words.
+A text is a sequence of words (runs without white space). A run longer than WORD_LENGTH, as in scripts without
+spaces, counts as its overlapping pieces of PIECE characters, one from each place, so that an inserted character only
+changes the pieces around it. A text's k-mers are K words in a row, numbered by occurrence, so that a
+repeated one counts each time. Each numbered k-mer has a random rank; all of a text's ranks stand in a ring, which is
+cut at SLOTS fixed places, and from each cut on the TUPLE next ones are selected, put back into their order in the
+text, and hashed together. Where many k-mers are, each slot selects the least ranks of its own range; where few are it
+goes on into the next ranges, so that slots of short texts have tuples in order too. Two texts agree in a slot if they
+share the same k-mers in the same order, so the share of agreeing slots falls with the edit distance and not only with
+the shared words. (One permutation stands for SLOTS independent ones: on texts of few k-mers neighbouring slots agree
+together, so likeness is coarser there. Two k-mers are taken for the same if 36 bits of their hashes agree.)
 
 All work on a text is done inside its row, on sorted arrays of longs: position and hash, or rank and
 position, share a long, so that both sorts are of primitives.
 
 Defined results: null and empty texts, and texts of white space only, have the empty fingerprint, which
 is like another empty one (1) and unlike all else (0). A text of fewer than K words has one
-k-mer. Repeated rows stay; rows with equal ids are ordered by text; null ids come last. A single
-document's next document is itself. An empty table gives an empty result.
+k-mer. Texts of any length are read whole. Repeated rows stay; rows with equal ids are ordered by a hash of their text;
+null ids come last. A single document's next document is itself. An empty table gives an empty result. Columns of any
+name pass through the helpers; the query ignores all but doc_id and text.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bounds_of, range_of, whole_text
+from .common import long_array, whole_text
 
-K, TUPLE, SLOT_BITS, WORD_LENGTH = 3, 2, 5, 16
+K, TUPLE, SLOT_BITS, WORD_LENGTH, PIECE = 3, 2, 5, 16, 8
 SLOTS = 1 << SLOT_BITS
 PLACE_BITS = 28  # a string of 2 GB has no more words of two bytes
 PLACE = (1 << PLACE_BITS) - 1
@@ -41,7 +46,12 @@ def _kmer(words: Column, place: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{WORD_LENGTH}}}"), F.lit(0))
+    """Runs without white space, long ones as their overlapping pieces. A piece never starts inside a character."""
+    run = r"[^\x20\x09-\x0D]"
+    runs = F.regexp_extract_all(text, F.lit(f"{run}+"), F.lit(0))
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{PIECE}}}))"), F.lit(1))
+    parts = F.flatten(F.transform(runs, lambda x: F.when(F.char_length(x) > WORD_LENGTH, pieces(x)).otherwise(F.array(x))))
+    return F.when(text.rlike(f"{run}{{{WORD_LENGTH + 1}}}"), parts).otherwise(runs)
 
 
 def _occurrence(kmers: Column, at: Column) -> Column:
@@ -53,33 +63,33 @@ def _occurrence(kmers: Column, at: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with array<int> column `out`: for each slot that isn't empty its number (upper bits) and hash.
-
-    Columns named _words, _kmers, _ranks and _chosen are used on the way and dropped.
-    """
-    d = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
-    n = F.size("_words")
+    """df with array<int> column `out` (replaced if it is there): a number and hash for each slot, none for a text without words."""
+    kept = [c for c in df.columns if c != out]
+    # The row travels as a struct, so that no column of df clashes with one of ours.
+    d = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("words"))
+    n = F.size("words")
     # hash (upper bits) and place of every k-mer, sorted: equal ones stand together
-    packed = F.transform(F.slice("_words", F.lit(1), F.greatest(n - (K - 1), F.least(n, F.lit(1)))), lambda _, i: _kmer(F.col("_words"), i).bitwiseAND(_long(~PLACE)).bitwiseOR(i.cast("long")))
-    d = d.withColumn("_kmers", F.sort_array(packed))
-    rank = lambda x, i: F.xxhash64(F.shiftright(x, PLACE_BITS), _occurrence(F.col("_kmers"), i))
-    # slot and rank (upper bits) and place of every numbered k-mer, sorted
-    ranked = F.transform("_kmers", lambda x, i: rank(x, i).bitwiseAND(_long(~PLACE)).bitwiseOR(x.bitwiseAND(_long(PLACE))))
-    d = d.withColumn("_ranks", F.sort_array(ranked))
-    slot = lambda x: F.shiftrightunsigned(x, 64 - SLOT_BITS)
-    least = F.filter("_ranks", lambda x, i: (i < TUPLE) | (slot(F.get("_ranks", i - TUPLE)) != slot(x)))
-    # the selected ones of a slot in the order of the text
-    d = d.withColumn("_chosen", F.sort_array(F.transform(least, lambda x: F.shiftleft(slot(x), PLACE_BITS).bitwiseOR(x.bitwiseAND(_long(PLACE))))))
-    of = lambda x: F.shiftright(x, PLACE_BITS)
-    kmer = lambda x: _kmer(F.col("_words"), x.bitwiseAND(_long(PLACE)))
-
-    def value(x: Column, i: Column) -> Column:
-        others = [F.when(of(F.get("_chosen", i + k)) == of(x), kmer(F.get("_chosen", i + k))) for k in range(1, TUPLE)]
-        hashed = F.shiftrightunsigned(F.xxhash64(kmer(x), *others), 32 + SLOT_BITS)
-        return F.when((i == 0) | (of(F.get("_chosen", i - 1)) != of(x)), (F.shiftleft(of(x), 32 - SLOT_BITS).bitwiseOR(hashed) - _long(1 << 31)).cast("int"))
-
-    d = d.withColumn(out, F.filter(F.transform("_chosen", value), lambda x: x.isNotNull()))
-    return d.drop("_words", "_kmers", "_ranks", "_chosen")
+    packed = F.transform(F.slice("words", F.lit(1), F.greatest(n - (K - 1), F.least(n, F.lit(1)))), lambda _, i: _kmer(F.col("words"), i).bitwiseAND(_long(~PLACE)).bitwiseOR(i.cast("long")))
+    d = d.withColumn("kmers", F.sort_array(packed))
+    rank = lambda x, i: F.xxhash64(F.shiftright(x, PLACE_BITS), _occurrence(F.col("kmers"), i))
+    # slot and rank (upper bits) and place of every numbered k-mer, sorted: the ring
+    ranked = F.transform("kmers", lambda x, i: rank(x, i).bitwiseAND(_long(~PLACE)).bitwiseOR(x.bitwiseAND(_long(PLACE))))
+    d = d.withColumn("ring", F.sort_array(ranked))
+    # where each slot's range begins; an empty one begins where the next does
+    d = d.withColumn("slots", F.transform("ring", lambda x: F.shiftright(x, 64 - SLOT_BITS)))
+    half = SLOTS // 2  # signed longs: slots are -half to half - 1
+    begin = lambda later, s: F.when(F.array_contains("slots", s), (F.array_position("slots", s) - 1).cast("int")).otherwise(F.get(later, F.lit(0)))
+    begins = F.aggregate(F.array(*(_long(s) for s in reversed(range(-half, half)))), F.array(F.size("ring")), lambda later, s: F.concat(F.array(begin(later, s)), later))
+    d = d.withColumn("begins", F.slice(begins, 1, SLOTS))
+    m = F.size("ring")
+
+    def value(at: Column, s: Column) -> Column:
+        places = F.sort_array(F.transform(F.sequence(F.lit(0), F.least(F.lit(TUPLE), m) - 1), lambda k: F.get("ring", (at + k) % m).bitwiseAND(_long(PLACE))))
+        hashed = F.shiftrightunsigned(F.xxhash64(*(F.when(F.size(places) > k, _kmer(F.col("words"), F.get(places, F.lit(k)))) for k in range(TUPLE))), 32 + SLOT_BITS)
+        return (F.shiftleft((s - half).cast("long"), 32 - SLOT_BITS).bitwiseOR(hashed)).cast("int")
+
+    d = d.withColumn("print", F.when(m > 0, F.transform("begins", value)).otherwise(F.array().cast("array<int>")))
+    return d.select("row.*", F.col("print").alias(out))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -89,33 +99,39 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(fingerprint: str) -> Column:
-    """Eight hexadecimal digits for each slot that isn't empty."""
+    """Eight hexadecimal digits for each slot."""
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + _long(1 << 31)), 8, "0"))), "")
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with next_<column>: the values of the row that follows by descending doc_id; after the last
-    comes the first.
+def with_next(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
+    """df with next_<column>: the values of the row that follows by descending doc_id and, for equal ids, hash of the
+    column `tie`; after the last comes the first.
 
-    Ids are cut into ranges of about equal size. The first row of each range also goes to the range
-    before it, as a guest, so each range finds all its next rows by itself.
+    Rows are cut into ranges of about equal size by both; a range exchange of ids and hashes finds the bounds. The first
+    row of each range also goes to the range before it, as a guest, so each range finds all its next rows by itself. There are
+    MOST_RANGES at most: beyond, ranges grow, which are sorted and streamed, never held. Only rows that agree in
+    id and tie can't be cut apart.
     """
     key = F.coalesce("doc_id", _long(-(1 << 63)))
-    ids = df.select(key.alias("key"))
+    ids = df.select(key.alias("key"), F.xxhash64(tie).alias("tie"))
     n = min(MOST_RANGES, max(RANGES, -(-ids.count() // RANGE_ROWS)))
-    bounds = bounds_of(ids, "key", n)
-    firsts = {r.range: r.key for r in ids.groupBy(range_of(F.col("key"), bounds).alias("range")).agg(F.max("key").alias("key")).collect()}
-    order = sorted(firsts)
-    host = {x: order[(i + 1) % len(order)] for i, x in enumerate(order)}  # the next higher range; the top one's host is the lowest
-    by_range = lambda values: F.array(*(F.lit(values.get(x)) for x in range(len(bounds) + 1)))
-    d = df.withColumn("_key", key).withColumn("_range", range_of(F.col("_key"), bounds))
-    own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
-    guest = F.struct(F.get(by_range(host).cast("array<int>"), F.col("_range")).alias("range"), F.lit(1).alias("guest"))
-    is_first = F.get(by_range(firsts).cast("array<long>"), F.col("_range")) == F.col("_key")
-    d = d.withColumn("_at", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
-    within = W.Window.partitionBy("_at.range").orderBy("_at.guest", F.desc("_key"), F.xxhash64(*columns))
-    d = d.withColumns({f"next_{c}": F.lead(c).over(within) for c in columns}).where("_at.guest = 0")
-    return d.drop("_key", "_range", "_at")
+    parts = ids.repartitionByRange(n, "key", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("key", "tie")).alias("top"))
+    tops = sorted((r.top.key, r.top.tie) for r in parts.select("top").collect())
+    if not tops:
+        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    keys, ties = long_array([k for k, _ in tops]), long_array([t for _, t in tops])
+    d = df.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(tie).alias("tie"))
+    # the number of tops below a row, by binary search
+    below = lambda i: (F.get(keys, i) < F.col("key")) | ((F.get(keys, i) == F.col("key")) & (F.get(ties, i) < F.col("tie")))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(tops).bit_length()))))
+    d = d.withColumn("range", F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s <= len(tops)) & below(a + s - 1), a + s).otherwise(a)))
+    is_top = (F.get(keys, F.col("range")) == F.col("key")) & (F.get(ties, F.col("range")) == F.col("tie"))
+    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
+    guest = F.struct(((F.col("range") + 1) % len(tops)).alias("range"), F.lit(1).alias("guest"))
+    d = d.select("row", "key", "tie", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+    within = W.Window.partitionBy("at.range").orderBy("at.guest", F.desc("key"), F.desc("tie"))
+    d = d.select("row", "at", F.lead(F.struct(*(F.col(f"row.{c}").alias(f"next_{c}") for c in columns))).over(within).alias("next")).where("at.guest = 0")
+    return d.select("row.*", "next.*")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -125,7 +141,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     document, as many as there are.
     """
     d = with_fingerprint(docs.select("doc_id", whole_text().alias("text")), "text", "print")
-    d = with_next(d, ["text", "print"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    d = with_next(d, ["text", "print"], "text").withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
     d = d.select("doc_id", "n_chars", edited.alias("edited"), "print", "next_print")
