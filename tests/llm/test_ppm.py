@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import ppm
 
@@ -63,15 +64,38 @@ def near(a, b):
         assert x[:5] == y[:5] and abs(x[5] - y[5]) < 1e-4 and abs(x[6] - y[6]) < 0.02, (x, y)
 
 
-@pytest.mark.parametrize("chunk", [1 << 25, 3000])
-def test_against_plain_loops(spark, duck, monkeypatch, chunk):
-    monkeypatch.setattr(ppm, "SHARD", 500)
-    docs = [(i, t[:700]) for i, t in duck.execute("select doc_id, text from documents order by doc_id limit 60").fetchall()]
-    docs += [(1000, None), (1001, ""), (1002, " \n "), (1003, "A a É \x00"), (1003, "A a É \x00"), (None, "nobody's text"), (1004, "z" * 5000)]
+@pytest.mark.parametrize(("chunk", "grams"), [(1 << 25, 1 << 22), (3000, 1 << 22), (1 << 25, 50), (1, 1 << 22)])
+def test_against_plain_loops(spark, duck, chunk, grams):
+    """One chunk or many chunks in a task, by size or by n-grams."""
+    docs = duck.execute("select doc_id, text from documents where length(text) < 900 order by doc_id limit 60").fetchall()
+    docs += [(1000, None), (1001, ""), (1002, " \n "), (1003, "A a É \x00"), (1003, "A a É \x00"), (None, "nobody's text"), (1004, "z" * 5000)]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, train string, block int").repartition(3)
-    if chunk < 1 << 25:  # many chunks: the constant is read in the workers, so cut the partitions instead
-        df = df.repartition(12)
-    near(found(ppm.score_documents(df)), slow_scores(docs, fold))
+    near(found(ppm.score_documents(df, chunk=chunk, grams=grams, shard=500)), slow_scores(docs, fold))
+
+
+def test_chunks_close_when_full():
+    draw = np.random.default_rng(1)
+    text = "".join(map(chr, draw.integers(0x4E00, 0x9000, 20_000)))
+    chunk = ppm.Chunk()
+    for i in range(200):
+        chunk.add(i, i % 2 == 0, text[100 * i : 100 * i + 100])
+    assert not chunk.full(1 << 20, 1000)  # not counted yet
+    chunk.count()
+    assert chunk.full(1 << 20, 1000) and chunk.full(20_000, 1 << 22) and not chunk.full(20_001, 1 << 22)
+    assert chunk.sums[0].sum() == sum(len(s) - ppm.ORDER for s, t in zip(chunk.streams, chunk.train) if t)
+
+
+def test_block_numbers_spread_over_the_partitions(spark):
+    """Numbers differ, and hash as Spark does."""
+    tasks, partitions = 40, 12
+    numbers = [[next(x) for _ in range(5)] for x in (ppm.block_numbers(t, partitions) for t in range(tasks))]
+    flat = sum(numbers, [])
+    assert len(set(flat)) == len(flat)
+    df = spark.createDataFrame([(x,) for x in flat], "x long")
+    hashed = {r.x: r.p for r in df.select("x", F.pmod(F.hash("x"), F.lit(partitions)).alias("p")).collect()}
+    assert all(hashed[x] == (t + k) % partitions for t, own in enumerate(numbers) for k, x in enumerate(own))
+    many = ppm.block_numbers(3, 700)
+    assert len({next(many) for _ in range(1000)}) == 1000
 
 
 def test_probabilities_of_all_symbols_sum_to_one():
@@ -94,8 +118,6 @@ def test_held_out_texts_beat_the_words_alone(spark):
 
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     r = ppm.score_documents(df, F.lit(False)).first()
     assert r.held_out and r.train_tokens == 0 and abs(r.score + 5 * math.log10(256)) < 1e-4 and r.base_score == 0
     assert ppm.score_documents(df.limit(0)).count() == 0
