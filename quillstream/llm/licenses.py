@@ -3,19 +3,24 @@
 Paragraphs are classified by multinomial logistic regression over word bigrams and trigrams into
 licence families and `unknown`. It is trained in numpy on the driver, from the templates below (whole,
 cut to windows, and with foreign words around them) against decoys, shuffled templates and a bounded
-sample of corpus paragraphs (SAMPLE documents with the least hashed ids, SAMPLE_WORDS words each).
-An L1 penalty keeps it sparse; a temperature is fitted on held-out windows, and UNKNOWN wins unless a family
-reaches CONFIDENT. A prediction is confirmed if the paragraph covers at least COVERED of the bigrams
+notices of other licences, and a bounded
+sample of corpus passages: SAMPLE_WINDOWS passages of WINDOW words with the least hashes, of SAMPLE documents with the
+least hashed ids, anywhere in them. Passages that speak of licences are left out, so that none is taught as unknown.
+An L1 penalty keeps it sparse. The temperature that calibrates the probabilities, that of `unknown` too, is fitted on what
+a first model hasn't seen: short notices whose carrying sentence it doesn't know, long templates that lack words, licences
+outside the families, and passages kept back; UNKNOWN wins unless a family reaches CONFIDENT. A prediction is confirmed if the paragraph covers at least COVERED of the bigrams
 of one of the family's templates. A notice that a line or paragraph break cuts is confirmed as a run of
 neighbouring paragraphs, if a window of about the template's length covers as much and is classified alike.
 
 Scanning explodes word triples and joins them with the model's n-grams, whose number is bounded by the
-templates and the bounded training sample; what matches nothing is dropped before any shuffle, so only sums
+templates and the bounded training sample; what matches nothing is dropped before anything is written, and only sums
 for paragraphs with matches are exchanged.
 
 Defined results: a document without a predicted paragraph has family null, probability 0 and confirmed
 false, and nothing found; null and empty texts have no paragraphs. All predicted paragraphs are returned; the
-document's own columns repeat the confirmed one with the highest probability, then the first. Repeated rows stay; an empty table gives an empty result.
+document's own columns repeat the confirmed one with the highest probability, then the first. Texts of any length are
+scanned whole. Repeated rows stay; columns besides doc_id and text are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,81 +28,117 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids, whole_text
+from .common import materialize, sample_ids, small_table, whole_text
 
 #: Typical notices and key paragraphs of public licences, by family.
-TEMPLATES = {
+PARAGRAPHS = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         "SPDX-License-Identifier: Apache-2.0",
+        "This project is licensed under the terms of the Apache License 2.0.",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "SPDX-License-Identifier: MIT",
+        "This project is licensed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is licensed under the terms of the GNU GPL v3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ),
     "gpl-2.0": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "This program is licensed under the terms of the GNU GPL v2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "Licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "This library is licensed under the terms of the GNU LGPL.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ),
     "agpl-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is licensed under the terms of the GNU AGPL v3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Released under the 3-Clause BSD License.",
         "Licensed under the BSD 2-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "This project is licensed under the terms of the BSD license.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
         "SPDX-License-Identifier: ISC",
+        "This project is licensed under the terms of the ISC license.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, Version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "This project is licensed under the terms of the MPL 2.0.",
+        "The contents of this file are subject to the Mozilla Public License Version 2.0; you may not use this file except in compliance with the License.",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.",
+        "You must give appropriate credit, provide a link to the license, and indicate if changes were made.",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-NonCommercial 4.0 International license.",
+        "You may not use the material for commercial purposes.",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-ShareAlike 4.0 International license.",
+        "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original.",
     ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal",
         "SPDX-License-Identifier: CC0-1.0",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law.",
     ),
 }
 #: Talk about licences that isn't a licence.
@@ -112,11 +153,52 @@ DECOYS = (
     "the following conditions are met in most cases, with or without a permit",
 )
 
+#: The names of each family, and sentences that carry a name. They make short notices.
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0"),
+    "mit": ("MIT License",),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU GPL v3"),
+    "gpl-2.0": ("GNU General Public License, version 2", "GNU GPL v2"),
+    "lgpl": ("GNU Lesser General Public License, version 3", "GNU LGPL"),
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3"),
+    "bsd": ("3-Clause BSD License", "BSD 2-Clause License", "BSD license"),
+    "isc": ("ISC License",),
+    "mpl-2.0": ("Mozilla Public License, Version 2.0", "MPL 2.0"),
+    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license"),
+    "public-domain": ("CC0 1.0 Universal dedication",),
+}
+CARRIERS = (
+    "Licensed under the {}.",
+    "This project is licensed under the terms of the {}.",
+    "Released under the {}.",
+    "The code is available under the {}; see the file LICENSE.",
+    "Distributed under the {}.",
+    "You may use this work under the {}.",
+)
+#: Notices of licences outside the families.
+OTHERS = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Permission is hereby granted to any person or organization obtaining a copy of the software to use, reproduce, display and execute it for evaluation only.",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "This End User License Agreement is a legal agreement between you and the company for the software product.",
+    "Released under the Artistic License 2.0.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+)
+#: Every template, and which carrier each short notice has.
+CARRIER_OF = {carrier.format(name): k for names in NAMES.values() for name in names for k, carrier in enumerate(CARRIERS)}
+TEMPLATES = {f: (*group, *(t for name in NAMES[f] for c in CARRIERS if (t := c.format(name)) not in group)) for f, group in PARAGRAPHS.items()}
+
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
-SAMPLE, SAMPLE_WORDS = 200, 400
-WINDOWS = 24  # cut windows of each template
-L1, STEPS, RATE = 2e-4, 300, 0.5
+SAMPLE, SAMPLE_WINDOWS, WINDOW = 200, 2000, 40
+HELD_OUT = 2  # of each three carriers (and licences outside the families) those that only the calibration sees
+DROPPED = 0.15  # share of words that paragraphs lack in the calibration
+WINDOWS = 16  # cut windows of each template
+L1, STEPS, RATE = 2e-4, 200, 0.5
 CONFIDENT, COVERED = 0.5, 0.6
 #: Fixed value: a word of the lower-cased text; numbers keep their dots.
 WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
@@ -141,88 +223,138 @@ class Classifier:
         return e / e.sum()
 
 
-def _examples(sample: list[str], seed: int = 7) -> list[tuple[list[str], int]]:
-    """Training paragraphs as words, and their class."""
+#: Words that speak of licences.
+OF_LICENCES = re.compile("licen[cs]|copyright|spdx|gpl|creative commons|public domain|mozilla|warrant")
+
+
+def speaks_of_licences(passage: str) -> bool:
+    """Whether a passage may be part of a notice: it names one, or has several trigrams of one template."""
+    found = words(passage)
+    have = set(zip(found, found[1:], found[2:]))
+    return bool(OF_LICENCES.search(passage.lower())) or any(len(have & t) > 2 for t in _template_trigrams())
+
+
+@cache
+def _template_trigrams() -> list[set[tuple[str, ...]]]:
+    return [set(zip(w, w[1:], w[2:])) for group in TEMPLATES.values() for w in map(words, group)]
+
+
+def _examples(templates: dict[str, list[str]], others: list[str], corpus: list[list[str]], seed: int = 7, dropped: float = 0.0) -> list[tuple[list[str], int]]:
+    """Training paragraphs as words, and their class; `dropped`: the share of words that long templates lack."""
     draw = random.Random(seed)
-    corpus = [w for w in map(words, sample) if len(w) > 3] or [words(x) for x in DECOYS]
+    around = corpus or [words(x) for x in DECOYS]
 
     def noise(n: int) -> list[str]:
-        x = draw.choice(corpus)
+        x = draw.choice(around)
         s = draw.randrange(len(x))
         return x[s : s + n]
 
     unknown = FAMILIES.index(UNKNOWN)
     out = []
-    for family, templates in TEMPLATES.items():
+    for family, group in templates.items():
         c = FAMILIES.index(family)
-        for t in map(words, templates):
-            out += [(t, c)] * 4
+        for whole in map(words, group):
+            lacking = lambda t: [x for x in t if draw.random() >= dropped] if len(t) > 16 else t  # noqa: B023, E731
+            out += [(lacking(whole), c)] * 4
             for _ in range(WINDOWS):
+                t = lacking(whole)
                 out.append((noise(draw.randrange(12)) + t + noise(draw.randrange(12)), c))
                 if len(t) > 16:
                     k = draw.randrange(12, len(t))
                     s = draw.randrange(len(t) - k + 1)
                     out.append((t[s : s + k], c))
             for _ in range(4):
-                out.append((draw.sample(t, len(t)), unknown))
-    out += [(w, unknown) for w in map(words, DECOYS) for _ in range(6)]
-    for x in corpus:
-        for s in range(0, len(x), 40):
-            out.append((x[s : s + 40], unknown))
-    return out
+                out.append((draw.sample(whole, len(whole)), unknown))
+    out += [(w, unknown) for w in map(words, (*DECOYS, *others)) for _ in range(6)]
+    return out + [(x, unknown) for x in corpus]
 
 
-def train(sample: list[str]) -> Classifier:
-    """Fit on the templates and a sample of corpus paragraphs: proximal gradient descent with L1, then a temperature."""
-    examples = _examples(sample)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _matrix(examples: list[tuple[list[str], int]], index: dict[tuple[str, ...], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of n-grams, classes, and weights by which all classes weigh the same."""
+    counts: list[dict[int, int]] = []
+    y, n = [], []
+    empty: dict[int, int] = {}
+    for found, c in examples:
+        row: dict[int, int] = {}
+        for g in ngrams(found):
+            if (j := index.get(g)) is not None:
+                row[j] = row.get(j, 0) + 1
+        if row:
+            counts.append(row)
+            y.append(c)
+            n.append(1.0)
+        else:  # examples without any n-gram only teach the bias: one row stands for all of a class
+            empty[c] = empty.get(c, 0) + 1
+    x = np.zeros((len(counts) + len(empty), len(index)), np.float32)
+    for r, row in enumerate(counts):
+        x[r, list(row)] = list(row.values())
+    y, n = np.array(y + list(empty)), np.array(n + list(empty.values()))
+    share = np.bincount(y, n, len(FAMILIES))
+    return x, y, n / np.maximum(share, 1)[y]
+
+
+def _fitted(templates: dict[str, list[str]], others: list[str], corpus: list[list[str]]) -> tuple[dict[tuple[str, ...], int], np.ndarray, np.ndarray]:
+    """Index of n-grams, weights and bias: proximal gradient descent with L1."""
     index: dict[tuple[str, ...], int] = {}
-    for t in (t for group in TEMPLATES.values() for t in group):
+    for t in (t for group in templates.values() for t in group):
         for g in ngrams(words(t)):
             index.setdefault(g, len(index))
-    x = np.zeros((len(examples), len(index)), np.float32)
-    for r, (found, _) in enumerate(examples):
-        for g in ngrams(found):
-            if g in index:
-                x[r, index[g]] += 1
-    y = np.array([c for _, c in examples])
-    # Paragraphs without any n-gram of a template only teach the bias: keep one in twenty, weighted.
-    empty = x.sum(1) == 0
-    keep = ~empty | (np.arange(len(y)) % 20 == 0)
-    weight = np.where(empty, 20.0, 1.0)[keep]
-    x, y = x[keep], y[keep]
-    share = np.bincount(y, weight, len(FAMILIES))
-    weight = weight / np.maximum(share, 1)[y] / len(FAMILIES)
-    held = np.arange(len(y)) % 5 == 0
-    one = np.eye(len(FAMILIES))[y]
-    w, b = np.zeros((x.shape[1], len(FAMILIES))), np.zeros(len(FAMILIES))
+    x, y, weight = _matrix(_examples(templates, others, corpus), index)
+    one = np.eye(len(FAMILIES), dtype=np.float32)[y]
+    w, b = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
     scale = 1 / np.maximum(1.0, np.sqrt((x * x).sum(0) / len(x)))  # common n-grams take shorter steps
-    square, total = np.full_like(w, 1e-8), weight[~held].sum()
-
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    xt, wt = x[~held], weight[~held][:, None]
+    square, share = np.full_like(w, 1e-8), (weight / weight.sum()).astype(np.float32)[:, None]
     for _ in range(STEPS):
-        error = (softmax(xt @ w + b) - one[~held]) * wt / total
-        gradient = xt.T @ error
+        error = (_softmax(x @ w + b) - one) * share
+        gradient = x.T @ error
         square += gradient**2
         step = RATE * scale[:, None] / np.sqrt(square)
         w = w - step * gradient
         w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(step, 50.0) * L1 * 0.05)
         b -= RATE * error.sum(0)
-    z = x[held] @ w + b
-    loss = lambda t: -(weight[held] * np.log(softmax(z / t)[np.arange(held.sum()), y[held]] + 1e-12)).sum()
+    return index, w.astype(np.float64), b.astype(np.float64)
+
+
+def _of_calibration(template: str) -> bool:
+    return CARRIER_OF.get(template, 0) % 3 == HELD_OUT
+
+
+def held_out(passages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, classes and weights of examples that a model of the others hasn't seen: short notices by their carrier, long
+    templates with words dropped, licences outside the families, and passages of the corpus."""
+    seen = {f: [t for t in group if not _of_calibration(t)] for f, group in TEMPLATES.items()}
+    new = {f: [t for t in group if t not in CARRIER_OF or _of_calibration(t)] for f, group in TEMPLATES.items()}
+    index, w, b = _fitted(seen, [x for k, x in enumerate(OTHERS) if k % 3 != HELD_OUT], passages[::2])
+    others = [x for k, x in enumerate(OTHERS) if k % 3 == HELD_OUT]
+    x, y, weight = _matrix(_examples(new, others, passages[1::2], seed=8, dropped=DROPPED), index)
+    return x @ w + b, y, weight
+
+
+def train(sample: list[str]) -> Classifier:
+    """Fit on the templates and passages of a corpus, those that speak of licences left out."""
+    passages = [w for w in map(words, (x for x in sample if not speaks_of_licences(x))) if len(w) > 3]
+    z, y, weight = held_out(passages)
+    loss = lambda t: -(weight * np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12)).sum()
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+    index, w, b = _fitted(TEMPLATES, list(OTHERS), passages)
     return Classifier({g: w[i] / temperature for g, i in index.items() if np.abs(w[i]).max() > 1e-4}, b / temperature)
 
 
 def fit(docs: DataFrame) -> Classifier:
-    """train() with a bounded sample of docs: SAMPLE documents, SAMPLE_WORDS words of each."""
-    first = F.array_join(F.slice(F.split(whole_text(), r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS), " ")
-    # At most SAMPLE rows, so this side is broadcast. Rows that share an id count once.
-    found = docs.select("doc_id", "text").join(F.broadcast(sample_ids(docs, SAMPLE)), "doc_id").select("doc_id", first.alias("t"))
-    return train(sorted(r.t for r in found.groupBy("doc_id").agg(F.min("t").alias("t")).collect()))
+    """train() with a bounded sample of docs: SAMPLE documents, of all their passages of WINDOW words the SAMPLE_WINDOWS with
+    the least hashes. (Passages of more than 16 characters a word, as in scripts without spaces, aren't sampled.)"""
+    # At most SAMPLE rows, so this side is broadcast.
+    found = docs.select(F.col("doc_id"), whole_text().alias("text")).join(F.broadcast(sample_ids(docs, SAMPLE)), "doc_id")
+    w = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
+    starts = F.sequence(F.lit(1), F.size(w), F.lit(WINDOW))
+    passages = found.select(F.explode(F.transform(starts, lambda k: F.array_join(F.slice(w, k, F.lit(WINDOW)), " "))).alias("t"))
+    passages = passages.where(F.char_length("t") <= 16 * WINDOW).distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE_WINDOWS)
+    return train(sorted(r.t for r in passages.collect()))
 
 
 def _paragraphs(text: Column) -> Column:
@@ -263,7 +395,7 @@ def _runs(p: DataFrame, model: Classifier, grams: list[list[float]], tris: list[
     own = lambda hits, t: F.filter(hits, lambda h: F.array_contains(h["templates"], t))
     covered = lambda t: F.size(F.array_distinct(F.transform(own(F.col("_hits"), t), lambda h: h["gram"]))) / number(sizes, t) >= COVERED
     several = F.array_max(F.transform("_hits", lambda h: h["last"])) > F.array_min(F.transform("_hits", lambda h: h["place"]))
-    p = p.withColumn("_templates", F.when(several, F.filter(F.sequence(F.lit(0), F.lit(len(sizes) - 1)), covered)))
+    p = p.withColumn("_templates", F.when(several, F.filter(F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["templates"])))), covered)))
 
     def windows(t: Column, hits: Column) -> Column:
         span = number(spans, t)
@@ -303,12 +435,19 @@ def _runs(p: DataFrame, model: Classifier, grams: list[list[float]], tris: list[
     p = p.withColumn("_scored", F.when(F.size("_kept") > 0, F.when(F.size("_numbered") > 0, F.transform("_kept", scored))))
     probability = lambda y: 1 / F.aggregate(y["z"], F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max(y["z"])))
     sure = F.filter("_scored", lambda y: (F.array_position(y["z"], F.array_max(y["z"])) - 1 == number(families, y["x"]["t"])) & (probability(y) >= CONFIDENT))
-    run = lambda y: F.struct(y["x"]["place"].alias("paragraph"), y["x"]["last"].alias("last"), F.get(F.array(*map(F.lit, FAMILIES)), number(families, y["x"]["t"])).alias("family"), probability(y).alias("probability"), y["x"]["coverage"].alias("coverage"), F.lit(True).alias("confirmed"))
+    run = lambda y: F.struct(y["x"]["pos"].alias("pos"), y["x"]["end"].alias("end"), y["x"]["place"].alias("paragraph"), y["x"]["last"].alias("last"), F.get(F.array(*map(F.lit, FAMILIES)), number(families, y["x"]["t"])).alias("family"), probability(y).alias("probability"), y["x"]["coverage"].alias("coverage"), F.lit(True).alias("confirmed"))
     p = p.withColumn("_sure", F.when(F.size("_scored") > 0, F.sort_array(F.transform(sure, run))))
     # one paragraph that is confirmed alone, or a longer run of the family, stands for a run
     alone = lambda r: F.exists("_ones", lambda f: f["confirmed"] & (f["family"] == r["family"]) & (f["paragraph"] >= r["paragraph"]) & (f["paragraph"] <= r["last"]))
-    around = lambda r, i: F.exists(F.slice("_sure", F.greatest(i + 1 - max(spans), F.lit(1)), 2 * max(spans)), lambda y: (y["family"] == r["family"]) & (y["paragraph"] <= r["paragraph"]) & (y["last"] >= r["last"]) & ((y["last"] - y["paragraph"] > r["last"] - r["paragraph"]) | (y["coverage"] > r["coverage"])))
-    return p.withColumn("_runs", F.when(F.size("_sure") > 0, F.when(F.size("_ones") >= 0, F.filter("_sure", lambda r, i: ~alone(r) & ~around(r, i)))))
+    near = lambda i: F.slice("_sure", F.greatest(i + 1 - 2 * max(spans), F.lit(1)), 4 * max(spans))
+    longer = lambda y, r: (y["paragraph"] <= r["paragraph"]) & (y["last"] >= r["last"]) & ((y["last"] - y["paragraph"] > r["last"] - r["paragraph"]) | (y["coverage"] > r["coverage"]))
+    # of two families that most of the same words stand for, as those of two versions, the better covered one counts
+    shared = lambda y, r: 2 * (F.least(y["end"], r["end"]) - F.greatest(y["pos"], r["pos"]) + 1) > r["end"] - r["pos"] + 1
+    surer = lambda y, r: shared(y, r) & ((y["coverage"] > r["coverage"]) | ((y["coverage"] == r["coverage"]) & (y["probability"] > r["probability"])))
+    around = lambda r, i: F.exists(near(i), lambda y: F.when(y["family"] == r["family"], longer(y, r)).otherwise(surer(y, r)))
+    left = F.filter("_sure", lambda r, i: ~alone(r) & ~around(r, i))
+    plain = F.transform(left, lambda r: F.struct(*(r[c].alias(c) for c in ("paragraph", "last", "family", "probability", "coverage", "confirmed"))))
+    return p.withColumn("_runs", F.when(F.size("_sure") > 0, F.when(F.size("_ones") >= 0, plain)))
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -328,13 +467,25 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         for g in found:
             of_template.setdefault(g, set()).add(i)
     two = {g: two.get(g, zero) for g in two.keys() | of_template.keys()} | {("", ""): zero}
-    pairs = spark.createDataFrame([(*g, v, sorted(of_template.get(g, ())), i) for i, (g, v) in enumerate(sorted(two.items()))], "a string, b string, w array<double>, templates array<int>, gram int")
+    known = sorted(two.items())
+    pairs = small_table(
+        spark,
+        {"a": [g[0] for g, _ in known], "b": [g[1] for g, _ in known], "w": [[float(x) for x in v] for _, v in known], "templates": [sorted(of_template.get(g, ())) for g, _ in known], "gram": list(range(len(known)))},
+        {"a": pa.string(), "b": pa.string(), "w": pa.list_(pa.float64()), "templates": pa.list_(pa.int32()), "gram": pa.int32()},
+    )
     three = sorted((g, v.tolist()) for g, v in model.weights.items() if len(g) == 3) or [(("", "", ""), zero)]
-    triples = spark.createDataFrame([(*g, v, i) for i, (g, v) in enumerate(three)], "a string, b string, c string, w3 array<double>, tri int")
+    triples = small_table(
+        spark,
+        {x: [g[k] for g, _ in three] for k, x in enumerate("abc")} | {"w3": [[float(x) for x in v] for _, v in three], "tri": list(range(len(three)))},
+        dict.fromkeys("abc", pa.string()) | {"w3": pa.list_(pa.float64()), "tri": pa.int32()},
+    )
 
     text = whole_text()
     d = docs.select("doc_id", text.alias("_text"), F.monotonically_increasing_id().alias("_row"))
     hits = _triples(d).join(F.broadcast(pairs), ["a", "b"]).join(F.broadcast(triples), ["a", "b", "c"], "left")
+    # Written once: a row's number then stays the same in all that follows, even if executors are lost.
+    hits = materialize(hits.select("_row", "doc_id", "_pos", "_place", "_next", "_last", "gram", "tri"), "hits")
+    hits = hits.join(F.broadcast(pairs.select("gram", "w", "templates")), "gram").join(F.broadcast(triples.select("tri", "w3")), "tri", "left")
     inner, inner3 = F.col("_place") == F.col("_next"), F.col("_place") == F.col("_last")
     sums = [F.sum(F.when(inner, F.get("w", F.lit(i)) + F.when(inner3, F.coalesce(F.get("w3", F.lit(i)), F.lit(0.0))).otherwise(0.0)).otherwise(0.0)).alias(f"z{i}") for i in range(n)]
     z = [F.col(f"z{i}") + float(model.bias[i]) for i in range(n)]

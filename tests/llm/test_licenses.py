@@ -8,7 +8,8 @@ from quillstream.llm import licenses as lic
 
 @pytest.fixture(scope="module")
 def model(duck):
-    return lic.train([" ".join(t.split()[:400]) for (t,) in duck.execute("select text from documents where text not ilike '%licen%' limit 150").fetchall()])
+    texts = [t.split() for (t,) in duck.execute("select text from documents limit 150").fetchall()]
+    return lic.train([" ".join(w[k : k + lic.WINDOW]) for w in texts for k in range(0, len(w), lic.WINDOW)][:2000])
 
 
 @pytest.mark.parametrize("family", lic.TEMPLATES)
@@ -95,6 +96,39 @@ def test_every_predicted_paragraph_of_the_documents(spark, model, sf_dir):
         assert {(x.family, x.confirmed) for x in rows[d.doc_id].found} == expected(model, d.text or ""), d.doc_id
 
 
+def test_held_out_notices(duck):
+    """Carriers, other licences and passages that the first model hasn't seen."""
+    texts = [t.split() for (t,) in duck.execute("select text from documents limit 100").fetchall()]
+    windows = [" ".join(w[k : k + lic.WINDOW]) for w in texts for k in range(0, len(w), lic.WINDOW)][:1000]
+    passages = [w for w in map(lic.words, (x for x in windows if not lic.speaks_of_licences(x))) if len(w) > 3]
+    z, y, weight = lic.held_out(passages)
+    best, unknown = z.argmax(1), len(lic.FAMILIES) - 1
+    sure = (best < unknown) & (lic._softmax(z).max(1) >= lic.CONFIDENT)
+    hit = (weight * (sure & (best == y))).sum()
+    assert hit / (weight * sure).sum() > 0.95 and hit / (weight * (y < unknown)).sum() > 0.9
+
+
+def test_licence_lines_are_not_taught_as_unknown():
+    assert all(lic.speaks_of_licences("some words " + t + " and more") for group in lic.TEMPLATES.values() for t in group)
+    assert not lic.speaks_of_licences("the cat sat on the mat and the terms of the contract were long")
+
+
+def test_the_sample_is_taken_from_whole_documents(spark, monkeypatch):
+    """A passage far behind in a long text can be in it; odd rows do no harm."""
+    taken = []
+    monkeypatch.setattr(lic, "train", taken.extend)
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(4000)), "x"), (2, None, "x"), (None, "y", "x"), (3, "", "x"), (4, "z" * 100_000, "x"), (1, "again", "x")], "doc_id long, text string, t string")
+    lic.fit(df)
+    assert any("w3999" in x.split() for x in taken) and all(len(x.split()) <= lic.WINDOW for x in taken)
+    lic.fit(df.limit(0))
+
+
+def test_very_long_texts(spark, model):
+    texts = [(1, ("nothing of the kind " * 30_000) + "\n" + lic.TEMPLATES["mit"][2]), (2, "x" * 1_000_000), (3, ("Licensed under the MIT License.\n" * 3_000))]
+    rows = {r.doc_id: r for r in lic.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert [x.family for x in rows[1].found] == ["mit"] and rows[2].found == [] and len(rows[3].found) == 3_000
+
+
 def wrapped(text, width=60):
     return "\n".join(textwrap.wrap(text, width))
 
