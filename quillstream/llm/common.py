@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache, wraps
 
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 _written: list[str] = []
+_recorder: ContextVar[list[str] | None] = ContextVar("recorder", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +44,8 @@ def stored(df: DataFrame, label: str, files: int = 0) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     (df.repartition(files) if files else df).write.parquet(path)
     _written.append(path)
+    if (paths := _recorder.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -54,6 +59,19 @@ def discard(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     _written.remove(path)
+    if path in (paths := _recorder.get() or []):
+        paths.remove(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all that stored() writes in this context."""
+    paths: list[str] = []
+    token = _recorder.set(paths)
+    try:
+        yield paths
+    finally:
+        _recorder.reset(token)
 
 
 def discard_all(spark: SparkSession) -> None:
