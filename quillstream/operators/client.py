@@ -148,6 +148,12 @@ def socket_reply(kind: Column) -> Column:
     return F.when(kind == "PING", "PONG").when(kind == "SNAPSHOT", "SNAPSHOT").otherwise("IGNORED")
 
 
+def debounced(changes: DataFrame, quiet_ms: int = 100) -> DataFrame:
+    """changes (user_id, seq, at_ms) with `applied`: only a change that none follows within quiet_ms counts (STR13)."""
+    following = F.lead("at_ms").over(W.Window.partitionBy("user_id").orderBy("at_ms", "seq"))
+    return changes.withColumn("applied", following.isNull() | (following - F.col("at_ms") >= quiet_ms))
+
+
 HEARTBEAT_MS, READ_TIMEOUT_MS = 10_000, 60_000
 
 

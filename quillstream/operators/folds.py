@@ -1,4 +1,4 @@
-"""Ordered folds that need a state machine: the now-playing stream and the rate limit (STR7, STR11).
+"""Ordered folds that need a state machine: the now-playing stream, the rate limit, a client's memo, lines of chunks (STR7, STR11, CCH3, SRC9).
 
 The machines are plain Python and serve batch (ordered Arrow batches) and streaming alike.
 """
@@ -7,13 +7,12 @@ from __future__ import annotations
 
 import base64
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REPORT_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.string())
+LONGEST_LINE = 10_000_000
 SONG = ("title", "artist", "album", "playing", "bundle_id", "artwork")
 
 
@@ -90,46 +89,104 @@ class RateLimit:
         return True
 
 
-REPORT = "user_id long, seq long, stopped boolean, title string, artist string, playing boolean, artwork string"
+class Memo:
+    """Keys that were met, cleared wholesale when it is full (CCH3)."""
 
+    def __init__(self, most: int):
+        self.most, self.keys = most, set()
+
+    def knows(self, key: str) -> bool:
+        """Whether the key is there; from now on it is."""
+        if key in self.keys:
+            return True
+        if len(self.keys) >= self.most:
+            self.keys.clear()
+        self.keys.add(key)
+        return False
+
+
+class LineBuffer:
+    """Chunks of text in, whole lines out (SRC9): without white space around them, blank ones dropped. A rest that is
+    longer than `longest` characters is given up."""
+
+    def __init__(self, longest: int = LONGEST_LINE):
+        self.longest, self.rest, self.size = longest, [], 0
+
+    def feed(self, chunk: str) -> list[str]:
+        first, *more = chunk.split("\n")
+        self.rest.append(first)
+        self.size += len(first)
+        lines = []
+        for part in more:
+            lines.append("".join(self.rest).strip())
+            self.rest, self.size = [part], len(part)
+        if self.size > self.longest:
+            self.rest, self.size = [], 0
+        return [x for x in lines if x]
 
-def now_playing(records: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """records (user_id, seq, diff, title, artist, album, playing, bundle_id, artwork) → what is reported after
-    each one that reports: user_id, seq, stopped, title, artist, playing, artwork.
 
-    A user's records stream through in batches, in order; the machine is all that is held.
+ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def in_order(rows: DataFrame, by: str, order: tuple[str, ...], fields: tuple[str, ...], machine: Callable, step: Callable, result: str) -> DataFrame:
+    """What `step(state, by, *order, *fields)` yields (tuples of `result`) for each row, in order, with a machine() for each `by`.
+
+    Rows stream through in Arrow batches; of a key only its machine is held.
     """
-    names = [x.split()[0] for x in REPORT.split(", ")]
+    names = (by, *order, *fields)
+    columns = [x.split() for x in result.split(", ")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, machine = None, None
+        current, state = None, None
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for u, seq, diff, *fields in zip(*(batch.column(c).to_pylist() for c in ("user_id", "seq", "diff", *SONG)), strict=True):
-                if machine is None or u != user:
-                    user, machine = u, NowPlaying(allowed)
-                out = machine.feed(bool(diff), dict(zip(SONG, fields, strict=True)))
-                if out is not None:
-                    for column, value in zip(rows, (u, seq, not out, *(out.get(k) for k in names[3:])), strict=True):
+            out: list[list] = [[] for _ in columns]
+            for values in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if state is None or values[0] != current:
+                    current, state = values[0], machine()
+                for row in step(state, *values):
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, REPORT_TYPES, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(out, columns, strict=True)], [n for n, _ in columns])
+
+    return rows.select(*names).repartition(by).sortWithinPartitions(by, *order).mapInArrow(fold, result)
+
+
+def now_playing(records: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """records (user_id, seq, diff, title, artist, album, playing, bundle_id, artwork) → what is reported after
+    each one that reports: user_id, seq, stopped, title, artist, playing, artwork."""
 
-    ordered = records.select("user_id", "seq", "diff", *SONG).repartition("user_id").sortWithinPartitions("user_id", "seq")
-    return ordered.mapInArrow(fold, REPORT)
+    def step(m: NowPlaying, user: int, seq: int, diff: bool, *fields) -> Iterator[tuple]:
+        out = m.feed(bool(diff), dict(zip(SONG, fields, strict=True)))
+        if out is not None:
+            yield user, seq, not out, out.get("title"), out.get("artist"), out.get("playing"), out.get("artwork")
+
+    result = "user_id long, seq long, stopped boolean, title string, artist string, playing boolean, artwork string"
+    return in_order(records, "user_id", ("seq",), ("diff", *SONG), lambda: NowPlaying(allowed), step, result)
 
 
 def rate_limited(calls: DataFrame, window_ms: int, most: int) -> DataFrame:
-    """calls (user_id, seq, arrival_ms) with `allowed`. A user's calls stream through in batches, in order."""
+    """calls (user_id, seq, arrival_ms) with `allowed`."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, limit = None, None
-        for batch in batches:
-            out = []
-            for u, t in zip(batch.user_id, batch.arrival_ms, strict=True):
-                if u != user or limit is None:
-                    user, limit = u, RateLimit(window_ms, most)
-                out.append(limit.allow(t))
-            yield batch.assign(allowed=out)
-
-    ordered = calls.select("user_id", "seq", "arrival_ms").repartition("user_id").sortWithinPartitions("user_id", "arrival_ms", "seq")
-    return ordered.mapInPandas(fold, "user_id long, seq long, arrival_ms long, allowed boolean")
+    def step(m: RateLimit, user: int, at: int, seq: int) -> Iterator[tuple]:
+        yield user, seq, at, m.allow(at)
+
+    return in_order(calls, "user_id", ("arrival_ms", "seq"), (), lambda: RateLimit(window_ms, most), step, "user_id long, seq long, arrival_ms long, allowed boolean")
+
+
+def remembered(requests: DataFrame, most: int = 100) -> DataFrame:
+    """requests (user_id, seq, key) with `known`: whether the client needn't ask for the key again."""
+
+    def step(m: Memo, user: int, seq: int, key: str) -> Iterator[tuple]:
+        yield user, seq, key, m.knows(key)
+
+    return in_order(requests, "user_id", ("seq",), ("key",), lambda: Memo(most), step, "user_id long, seq long, key string, known boolean")
+
+
+def lines_of_chunks(chunks: DataFrame, longest: int = LONGEST_LINE) -> DataFrame:
+    """chunks (user_id, seq, chunk) of each user's stream → value, a whole line, and the chunk that ends it."""
+
+    def step(m: LineBuffer, user: int, seq: int, chunk: str | None) -> Iterator[tuple]:
+        for line in m.feed(chunk or ""):
+            yield user, seq, line
+
+    return in_order(chunks, "user_id", ("seq",), ("chunk",), lambda: LineBuffer(longest), step, "user_id long, seq long, value string")

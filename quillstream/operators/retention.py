@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import covers as media
+from .state import first_in_time
 from .windows import DEFAULT_ZONE, ntz
 
 
@@ -107,6 +108,19 @@ def rotated(users: DataFrame, column: str) -> DataFrame:
     return users.withColumn(column, new_key(column))
 
 
+#: For how many seconds the answers of two kinds of request are kept.
+CACHED_SECONDS = {"exists": 300, "asset": 3600}
+
+
+def cached_covers(requests: DataFrame, covers: DataFrame) -> DataFrame:
+    """requests (request_id, kind, cover_hash, at_ms) with `found` and `cached`: whether an answer that is still
+    kept spares the store (CCH2). Only covers that are found are kept, for CACHED_SECONDS by kind."""
+    asked = requests.join(covers.select("cover_hash").distinct().withColumn("found", F.lit(True)), "cover_hash", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    seconds = F.when(F.col("kind") == "exists", CACHED_SECONDS["exists"]).otherwise(CACHED_SECONDS["asset"])
+    first = first_in_time(asked.withColumn("_ttl_ms", seconds * 1000), ("kind", "cover_hash"), "at_ms", "request_id", "_ttl_ms", "_read", F.col("found"))
+    return first.withColumn("cached", ~F.col("_read")).drop("_ttl_ms", "_read")
+
+
 def stored_covers(hashes: DataFrame, covers: DataFrame) -> DataFrame:
     """hashes (cover_hash) with the stored cover's columns; `code` is 404 where there is none (SRC5)."""
     known = covers.withColumn("_known", F.lit(True))

@@ -125,6 +125,19 @@ def retain_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.keep_covers(_covers(spark, sf_dir), datetime(2024, 1, 10, tzinfo=UTC)).select("cover_hash")
 
 
+@query(f"""with recursive {A.EVENTS_SQL}, rq as (select seq, case when k % 2 = 0 then 'exists' else 'asset' end as kind, k % 40 as c, arrival_ms * 100 as at_ms, case when k % 2 = 0 then 300000 else 3600000 end as ttl from ev),
+fo as (select * from rq where c < 30),
+nx as (select a.kind, a.c, a.at_ms, min(b.at_ms) as next_ms from fo a left join fo b on b.kind = a.kind and b.c = a.c and b.at_ms >= a.at_ms + a.ttl group by all),
+chain as (select kind, c, min(at_ms) as ms from fo group by all union all select x.kind, x.c, nx.next_ms from chain x join nx on nx.kind = x.kind and nx.c = x.c and nx.at_ms = x.ms where nx.next_ms is not null)
+select seq as request_id, rq.c < 30 as found, rq.c < 30 and chain.ms is null as cached from rq left join chain on chain.kind = rq.kind and chain.c = rq.c and chain.ms = rq.at_ms""")
+def cover_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for forty covers, thirty of them stored: which the cache answers (CCH2)."""
+    name = lambda c: F.md5(F.concat(F.lit("cover-"), c.cast("string")).cast("binary")).alias("cover_hash")
+    k = F.col("k")
+    r = A.events(spark, sf_dir).select(F.col("seq").alias("request_id"), F.when(k % 2 == 0, "exists").otherwise("asset").alias("kind"), name(k % 40), (F.col("arrival_ms") * 100).alias("at_ms"))
+    return retention.cached_covers(r, spark.range(30).select(name(F.col("id")))).select("request_id", "found", "cached")
+
+
 _ACCESS_SQL = "al as (select cover_hash, case when first_id % 3 = 0 then '1706000000' when first_id % 3 = 1 then '2024-01-' || lpad(cast(1 + first_id % 30 as varchar), 2, '0') || 'T12:00:00+08:00' end as last_access from cv where first_id % 4 <> 0)"
 
 
@@ -180,10 +193,12 @@ def settings_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEX = ("89504E470D0A", "FFD8FFE0", "47494638", "000000", "4749", "FFD8", "")
 
 
-@query("select i, case when i = 0 then 'image/png' when i = 2 then 'image/gif' else 'image/jpeg' end as content_type from (select unnest(range(7)) as i)")
+@query("select doc_id, case doc_id % 7 when 0 then 'image/png' when 2 then 'image/gif' else 'image/jpeg' end as content_type from documents")
 def mime_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_HEX)), "i long, h string")
-    return rows.select("i", media.sniff(F.unhex("h")).alias("content_type"))
+    """Every text as bytes, behind the first bytes of several formats."""
+    head = F.unhex(F.get(F.array(*map(F.lit, _HEX)), (F.col("doc_id") % len(_HEX)).cast("int")))
+    d = A.covers(spark, sf_dir).select("doc_id", F.concat(head, F.coalesce("data", F.lit(b""))).alias("bytes"))
+    return d.select("doc_id", media.sniff(F.col("bytes")).alias("content_type"))
 
 
 @query("""select doc_id, case when doc_id % 5 = 4 then 400 else 200 end as status,

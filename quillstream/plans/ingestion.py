@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..operators import access, client, folds, state
 from ..sources import adapter as A
@@ -262,7 +263,36 @@ def wire_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).select("seq", ingest.wire_ms(F.col("seq") * F.lit(1.0009765625)).alias("ms"))
 
 
-# --- folds that SQL can't express ---
+@query(f"with {A.EVENTS_SQL} select seq, coalesce(lead(arrival_ms) over (partition by user_id order by arrival_ms, seq) - arrival_ms >= 2000, true) as applied from ev")
+def settings_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of settings that others follow too soon don't count (STR13)."""
+    return client.debounced(A.events(spark, sf_dir).select("user_id", "seq", F.col("arrival_ms").alias("at_ms")), 2000).select("seq", "applied")
+
+
+# --- ordered folds ---
+
+
+@query(f"""with recursive {A.EVENTS_SQL}, o as (select user_id, seq, 'key-' || (k % 7) as key, row_number() over (partition by user_id order by seq) as n from ev),
+f as (select user_id, seq, key, n, false as known, [key] as memo from o where n = 1
+  union all select o.user_id, o.seq, o.key, o.n, list_contains(f.memo, o.key), case when list_contains(f.memo, o.key) then f.memo when len(f.memo) >= 3 then [o.key] else list_append(f.memo, o.key) end
+  from f join o on o.user_id = f.user_id and o.n = f.n + 1)
+select user_id, seq, key, known from f""")
+def upload_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers that a client with a memo of three needn't ask for (CCH3)."""
+    r = A.events(spark, sf_dir).select("user_id", "seq", F.concat(F.lit("key-"), (F.col("k") % 7).cast("string")).alias("key"))
+    return folds.remembered(r, 3)
+
+
+@query(f"""with {A.EVENTS_SQL}, l as (select user_id, seq, case when k % 6 = 1 then '' else 'line ' || seq || ' of ' || coalesce(title, 'nothing') end as line from ev),
+p as (select user_id, seq, lag(line) over (partition by user_id order by seq) as value from l) select user_id, seq, value from p where value <> ''""")
+def chunked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut into chunks anywhere and put together again: each ends with the next chunk (SRC9)."""
+    line = F.when(F.col("k") % 6 == 1, "  ").otherwise(F.concat(F.lit(" line "), F.col("seq").cast("string"), F.lit(" of "), F.coalesce("music.title", F.lit("nothing"))))
+    e = A.events(spark, sf_dir).select("user_id", "seq", line.alias("line"), (F.col("k") % 9).alias("cut"))
+    by_user = W.Window.partitionBy("user_id").orderBy("seq")
+    head, rest = F.substring(F.col("line"), F.lit(1), F.col("cut")), F.substring(F.col("line"), F.col("cut") + 1, F.length("line"))
+    before = F.lag(rest).over(by_user)
+    return folds.lines_of_chunks(e.select("user_id", "seq", F.concat(F.coalesce(F.concat(before, F.lit("\n")), F.lit("")), head).alias("chunk")))
 
 
 @query()

@@ -1,7 +1,7 @@
 import base64
 
 from quillstream.operators import client
-from quillstream.operators.folds import NowPlaying, RateLimit
+from quillstream.operators.folds import LineBuffer, Memo, NowPlaying, RateLimit
 
 ART, OTHER = (base64.b64encode(x).decode() for x in (b"one", b"two"))
 
@@ -57,3 +57,14 @@ def test_category_order(spark):
 
     rows = spark.createDataFrame([("阅读代码", "development"), ("学习设计", "work"), (None, "other")], "label string, expected string")
     assert all(r[0] == r.expected for r in rows.select(client.category(F.col("label")), "expected").collect())
+
+
+def test_a_full_memo_is_cleared():
+    m = Memo(2)
+    assert [m.knows(k) for k in "abacab"] == [False, False, True, False, False, False]
+
+
+def test_lines_of_chunks():
+    b = LineBuffer(5)
+    assert b.feed("one") == [] and b.feed(" \n\n two\nth") == ["one", "two"] and b.feed("ree\n") == ["three"]
+    assert b.feed("toolong") == [] and b.feed("x\ny\n") == ["x", "y"]  # the rest of a line that is too long is given up
