@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fold, materialize, release, whole_text
+from .common import bound_batches, drop_shuffles, fold, materialize, release, whole_text
 
 ORDER = 5
 END = b"\xff"  # never a byte of UTF-8
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 GRAMS = 1 << 22  # distinct n-grams of a chunk, beyond which it isn't added to
 #: A row of a list has its place as one long, the chunk's number above SLOT_BITS. What comes back has the place in the
 #: list, a kind and VALUE_BITS of a value as one long. A chunk (so a text) has at most 2**SLOT_BITS n-grams.
@@ -427,12 +427,14 @@ def score_documents(docs: DataFrame, train: Column | None = None, chunk: int = C
     n, v = total.n or 0, total.counts - (again.counts or 0)
     sums = words.join(shared.select("word", "value"), "word").where("value != n").select("at", "value")
 
+    drop_shuffles(spark)
     of_gram = materialize(in_chunk.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     known = of_gram.where("n > 0")
     four = known.select(F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("g")).distinct()
     # At most 2**24 rows, as three bytes have no more values.
     three = four.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("g")).agg(F.count("*").cast("int").alias("n"))
     three = three.select(F.col("g").cast("int"), "n").toArrow()
+    drop_shuffles(spark)
     low = low_levels(three.column("g").to_numpy().astype(np.uint64), three.column("n").to_numpy().astype(np.int64))
     shards = max(1, -(-of_gram.count() // shard))
     last_three = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
