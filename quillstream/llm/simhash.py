@@ -175,7 +175,10 @@ def far_links(labelled: DataFrame, files: int = 1) -> DataFrame:
     labelled: (fp, label); whoever is 2 bits apart or less has the same label.
     """
     links, near, far, crowds = _meet(labelled, HALVES, False, files)
+    present = {r.side for r in crowds.select("side").distinct().collect()}  # two at most
     for side, sides in enumerate(QUARTERS):
+        if side not in present:
+            continue
         more_links, more_near, more_far, rest = _meet(crowds.where(F.col("side") == side).select("fp", "label"), sides, True, files)
         # All three bits are among the free ones: one of the two fingerprints has an odd number of ones, and emits the far variants.
         pairs = [F.array(*(F.lit(_bit(x) ^ _bit(y)).cast("long") for x in free for y in free if x < y)) for free, _ in sides]
