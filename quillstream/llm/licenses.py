@@ -13,7 +13,7 @@ of one of the family's templates. A notice that a line or paragraph break cuts i
 neighbouring paragraphs, if a window of about the template's length covers as much and is classified alike.
 
 Scanning explodes word triples and joins them with the model's n-grams, whose number is bounded by the
-templates and the bounded training sample; what matches nothing is dropped before anything is written, and only sums
+templates and the bounded training sample; what matches nothing is dropped before any shuffle, so only sums
 for paragraphs with matches are exchanged.
 
 Defined results: a document without a predicted paragraph has family null, probability 0 and confirmed
@@ -28,14 +28,14 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sample_ids, small_table, whole_text
+from .common import row_key, sample_ids, small_table, whole_text
 
 #: Typical notices and key paragraphs of public licences, by family.
 PARAGRAPHS = {
@@ -274,9 +274,39 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _matrix(examples: list[tuple[list[str], int]], index: dict[tuple[str, ...], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """Counts of n-grams by example: entries in the order of rows, and their order by column."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(self.rows, self.columns, self.values, w, self.shape[0])
+
+    def transposed_times(self, z: np.ndarray) -> np.ndarray:
+        order = self._by_column
+        return self._sums(self.columns[order], self.rows[order], self.values[order], z, self.shape[1])
+
+    @cached_property
+    def _by_column(self) -> np.ndarray:
+        return np.argsort(self.columns, kind="stable")
+
+    @staticmethod
+    def _sums(to: np.ndarray, at: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """For each number in the sorted `to` the sum of values times the rows `at` of `of`."""
+        out = np.zeros((n, of.shape[1]), np.float32)
+        if len(to):
+            starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            out[to[starts]] = np.add.reduceat(values[:, None] * of[at], starts, axis=0)
+        return out
+
+
+def _matrix(examples: list[tuple[list[str], int]], index: dict[tuple[str, ...], int]) -> tuple[Sparse, np.ndarray, np.ndarray]:
     """Counts of n-grams, classes, and weights by which all classes weigh the same."""
-    counts: list[dict[int, int]] = []
+    rows, columns, values = [], [], []
     y, n = [], []
     empty: dict[int, int] = {}
     for found, c in examples:
@@ -285,17 +315,16 @@ def _matrix(examples: list[tuple[list[str], int]], index: dict[tuple[str, ...],
             if (j := index.get(g)) is not None:
                 row[j] = row.get(j, 0) + 1
         if row:
-            counts.append(row)
+            rows += [len(y)] * len(row)
+            columns += row.keys()
+            values += row.values()
             y.append(c)
             n.append(1.0)
         else:  # examples without any n-gram only teach the bias: one row stands for all of a class
             empty[c] = empty.get(c, 0) + 1
-    x = np.zeros((len(counts) + len(empty), len(index)), np.float32)
-    for r, row in enumerate(counts):
-        x[r, list(row)] = list(row.values())
     y, n = np.array(y + list(empty)), np.array(n + list(empty.values()))
     share = np.bincount(y, n, len(FAMILIES))
-    return x, y, n / np.maximum(share, 1)[y]
+    return Sparse(np.array(rows, np.int32), np.array(columns, np.int32), np.array(values, np.float32), (len(y), len(index))), y, n / np.maximum(share, 1)[y]
 
 
 def _fitted(templates: dict[str, list[str]], others: list[str], corpus: list[list[str]]) -> tuple[dict[tuple[str, ...], int], np.ndarray, np.ndarray]:
@@ -307,11 +336,12 @@ def _fitted(templates: dict[str, list[str]], others: list[str], corpus: list[lis
     x, y, weight = _matrix(_examples(templates, others, corpus), index)
     one = np.eye(len(FAMILIES), dtype=np.float32)[y]
     w, b = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
-    scale = 1 / np.maximum(1.0, np.sqrt((x * x).sum(0) / len(x)))  # common n-grams take shorter steps
+    squares = np.bincount(x.columns, x.values**2, x.shape[1])
+    scale = (1 / np.maximum(1.0, np.sqrt(squares / x.shape[0]))).astype(np.float32)  # common n-grams take shorter steps
     square, share = np.full_like(w, 1e-8), (weight / weight.sum()).astype(np.float32)[:, None]
     for _ in range(STEPS):
-        error = (_softmax(x @ w + b) - one) * share
-        gradient = x.T @ error
+        error = (_softmax(x.times(w) + b) - one) * share
+        gradient = x.transposed_times(error)
         square += gradient**2
         step = RATE * scale[:, None] / np.sqrt(square)
         w = w - step * gradient
@@ -332,7 +362,7 @@ def held_out(passages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     index, w, b = _fitted(seen, [x for k, x in enumerate(OTHERS) if k % 3 != HELD_OUT], passages[::2])
     others = [x for k, x in enumerate(OTHERS) if k % 3 == HELD_OUT]
     x, y, weight = _matrix(_examples(new, others, passages[1::2], seed=8, dropped=DROPPED), index)
-    return x @ w + b, y, weight
+    return x.times(w) + b, y, weight
 
 
 def train(sample: list[str]) -> Classifier:
@@ -481,11 +511,10 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     )
 
     text = whole_text()
-    d = docs.select("doc_id", text.alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    # A hash of its columns goes with a row's number: even if a table were read in another order after an executor is lost,
+    # sums of two rows never mix.
+    d = docs.select("doc_id", text.alias("_text"), F.struct(F.monotonically_increasing_id().alias("number"), row_key(docs)[1].alias("hash")).alias("_row"))
     hits = _triples(d).join(F.broadcast(pairs), ["a", "b"]).join(F.broadcast(triples), ["a", "b", "c"], "left")
-    # Written once: a row's number then stays the same in all that follows, even if executors are lost.
-    hits = materialize(hits.select("_row", "doc_id", "_pos", "_place", "_next", "_last", "gram", "tri"), "hits")
-    hits = hits.join(F.broadcast(pairs.select("gram", "w", "templates")), "gram").join(F.broadcast(triples.select("tri", "w3")), "tri", "left")
     inner, inner3 = F.col("_place") == F.col("_next"), F.col("_place") == F.col("_last")
     sums = [F.sum(F.when(inner, F.get("w", F.lit(i)) + F.when(inner3, F.coalesce(F.get("w3", F.lit(i)), F.lit(0.0))).otherwise(0.0)).otherwise(0.0)).alias(f"z{i}") for i in range(n)]
     z = [F.col(f"z{i}") + float(model.bias[i]) for i in range(n)]
