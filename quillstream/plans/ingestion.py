@@ -295,7 +295,25 @@ def chunked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.lines_of_chunks(e.select("user_id", "seq", F.concat(F.coalesce(F.concat(before, F.lit("\n")), F.lit("")), head).alias("chunk")))
 
 
-@query()
+_SONG = "struct(title varchar, artist varchar, playing boolean, art varchar)"
+
+
+@query(f"""with recursive {A.EVENTS_SQL}, r as (select user_id, seq, row_number() over (partition by user_id order by seq) as n, k % 3 = 0 as diff, title, artist, case when k % 2 = 0 then k % 5 = 0 end as playing,
+  case k % 4 when 0 then null when 1 then '' else base64(encode('art-' || (k % 5))) end as raw from ev),
+f as (select distinct user_id, cast(0 as bigint) as n, cast(null as bigint) as seq, 'none' as act, cast(null as {_SONG}) as cur, cast(null as {_SONG}) as pend from r
+  union all
+  select user_id, n, seq, act,
+    case when act = 'new' then song when act = 'picture' then struct_pack(title := pend.title, artist := pend.artist, playing := pend.playing, art := coalesce(song.art, pend.art))
+      when act = 'play' and pend is not null then struct_pack(title := pend.title, artist := pend.artist, playing := song.playing, art := pend.art)
+      when act = 'play' then struct_pack(title := cur.title, artist := cur.artist, playing := song.playing, art := cur.art)
+      when act = 'own picture' then struct_pack(title := cur.title, artist := cur.artist, playing := cur.playing, art := song.art) when act <> 'stop' then cur end,
+    case when act = 'wait' then song when act in ('none', 'own picture') then pend end
+  from (select r.user_id, r.n, r.seq, f.cur, f.pend, struct_pack(title := r.title, artist := r.artist, playing := r.playing, art := nullif(r.raw, '')) as song,
+    case when not diff and (coalesce(r.title, '') = '' or coalesce(r.artist, '') = '') then 'stop'
+      when not diff and (f.cur is null or f.cur.title = r.title and f.cur.artist = r.artist or nullif(r.raw, '') is not null and r.raw is distinct from f.cur.art) then 'new' when not diff then 'wait'
+      when raw is not null and f.pend is not null then 'picture' when raw <> '' and f.cur is not null then 'own picture' when raw is null and r.playing is not null and (f.pend is not null or f.cur is not null) then 'play' else 'none' end as act
+    from f join r on r.user_id = f.user_id and r.n = f.n + 1))
+select user_id, seq, act = 'stop' as stopped, cur.title as title, cur.artist as artist, cur.playing as playing, cur.art as artwork from f where act in ('stop', 'new', 'picture', 'play')""")
 def now_playing_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     art = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, "").otherwise(F.base64(F.concat(F.lit("art-"), (k % 5).cast("string")).cast("binary")))
