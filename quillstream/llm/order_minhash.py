@@ -29,7 +29,8 @@ from pyspark.sql import window as W
 
 from .common import long_array, whole_text
 
-K, TUPLE, SLOT_BITS, WORD_LENGTH, PIECE = 3, 2, 5, 16, 8
+K, SLOT_BITS, WORD_LENGTH, PIECE = 3, 5, 16, 8
+TUPLE = 2  # value() puts two in order
 SLOTS = 1 << SLOT_BITS
 PLACE_BITS = 28  # a string of 2 GB has no more words of two bytes
 PLACE = (1 << PLACE_BITS) - 1
@@ -50,8 +51,10 @@ def words(text: Column) -> Column:
     run = r"[^\x20\x09-\x0D]"
     runs = F.regexp_extract_all(text, F.lit(f"{run}+"), F.lit(0))
     pieces = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{PIECE}}}))"), F.lit(1))
-    parts = F.flatten(F.transform(runs, lambda x: F.when(F.char_length(x) > WORD_LENGTH, pieces(x)).otherwise(F.array(x))))
-    return F.when(text.rlike(f"{run}{{{WORD_LENGTH + 1}}}"), parts).otherwise(runs)
+    long = lambda x: F.char_length(x) > WORD_LENGTH
+    parts = lambda all_: F.flatten(F.transform(all_, lambda x: F.when(long(x), pieces(x)).otherwise(F.array(x))))
+    # A list of one entry, so that the runs are found once.
+    return F.element_at(F.transform(F.array(runs), lambda all_: F.when(F.exists(all_, long), parts(all_)).otherwise(all_)), 1)
 
 
 def _occurrence(kmers: Column, at: Column) -> Column:
@@ -75,18 +78,20 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     # slot and rank (upper bits) and place of every numbered k-mer, sorted: the ring
     ranked = F.transform("kmers", lambda x, i: rank(x, i).bitwiseAND(_long(~PLACE)).bitwiseOR(x.bitwiseAND(_long(PLACE))))
     d = d.withColumn("ring", F.sort_array(ranked))
-    # where each slot's range begins; an empty one begins where the next does
-    d = d.withColumn("slots", F.transform("ring", lambda x: F.shiftright(x, 64 - SLOT_BITS)))
-    half = SLOTS // 2  # signed longs: slots are -half to half - 1
-    begin = lambda later, s: F.when(F.array_contains("slots", s), (F.array_position("slots", s) - 1).cast("int")).otherwise(F.get(later, F.lit(0)))
-    begins = F.aggregate(F.array(*(_long(s) for s in reversed(range(-half, half)))), F.array(F.size("ring")), lambda later, s: F.concat(F.array(begin(later, s)), later))
-    d = d.withColumn("begins", F.slice(begins, 1, SLOTS))
-    m = F.size("ring")
+    # where each slot's range begins, by binary search; an empty one begins where the next does
+    m, half = F.size("ring"), SLOTS // 2
+    d = d.withColumn("steps", F.slice(F.array(*(F.lit(1 << k) for k in reversed(range(PLACE_BITS)))), PLACE_BITS + 1 - F.length(F.bin(m.cast("long"))), F.length(F.bin(m.cast("long")))))
+    bounds = F.array(*(_long(s << (64 - SLOT_BITS)) for s in range(-half, half)))  # longs are signed
+    below = lambda bound: F.aggregate("steps", F.lit(0), lambda a, s: F.when((a + s <= m) & (F.get("ring", a + s - 1) < bound), a + s).otherwise(a))
+    d = d.withColumn("begins", F.transform(bounds, below))
+    place = lambda at: F.get("ring", at % m).bitwiseAND(_long(PLACE))
 
     def value(at: Column, s: Column) -> Column:
-        places = F.sort_array(F.transform(F.sequence(F.lit(0), F.least(F.lit(TUPLE), m) - 1), lambda k: F.get("ring", (at + k) % m).bitwiseAND(_long(PLACE))))
-        hashed = F.shiftrightunsigned(F.xxhash64(*(F.when(F.size(places) > k, _kmer(F.col("words"), F.get(places, F.lit(k)))) for k in range(TUPLE))), 32 + SLOT_BITS)
-        return (F.shiftleft((s - half).cast("long"), 32 - SLOT_BITS).bitwiseOR(hashed)).cast("int")
+        places = [place(at + k) for k in range(TUPLE)]
+        # the selected ones in the order of the text; a text of one k-mer selects it alone
+        first, second = F.least(*places), F.greatest(*places)
+        hashed = F.shiftrightunsigned(F.xxhash64(_kmer(F.col("words"), first), F.when(second != first, _kmer(F.col("words"), second))), 32 + SLOT_BITS)
+        return F.shiftleft((s - half).cast("long"), 32 - SLOT_BITS).bitwiseOR(hashed).cast("int")
 
     d = d.withColumn("print", F.when(m > 0, F.transform("begins", value)).otherwise(F.array().cast("array<int>")))
     return d.select("row.*", F.col("print").alias(out))
