@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, sample_ids, small_table, whole_text
+from .common import long_array, row_key, sample_ids, small_table, whole_text
 
 #: Typical notices and key paragraphs of public licences, by family.
 PARAGRAPHS = {
@@ -420,7 +420,7 @@ def _runs(p: DataFrame, model: Classifier, grams: list[list[float]], tris: list[
     of its first n-gram. All is done inside the row, with slices as long as a window at most.
     """
     n = len(FAMILIES)
-    number = lambda values, t: F.get(F.array(*map(F.lit, values)), t)
+    number = lambda values, t: F.get(long_array(values), t).cast("int")
     spans = [x + x // 4 + 8 for x in lengths]
     own = lambda hits, t: F.filter(hits, lambda h: F.array_contains(h["templates"], t))
     covered = lambda t: F.size(F.array_distinct(F.transform(own(F.col("_hits"), t), lambda h: h["gram"]))) / number(sizes, t) >= COVERED
@@ -528,11 +528,14 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     p = p.withColumn("probability", F.array_max("e") / F.col("total"))
     predicted = (F.col("best") < n - 1) & (F.col("probability") >= CONFIDENT)
     names = F.array(*map(F.lit, FAMILIES))
-    own = F.array(*(F.array(*(F.lit(at[f, t]) for t in range(len(TEMPLATES[f])))) for f in TEMPLATES))
+    # A family's templates stand one after the other.
+    first = long_array([at[f, 0] for f in TEMPLATES])
+    last = long_array([at[f, len(TEMPLATES[f]) - 1] for f in TEMPLATES])
+    own = F.sequence(F.get(first, F.col("best")), F.get(last, F.col("best")))
     hit = F.flatten(F.transform("seen", lambda x: x["templates"]))
-    share = lambda t: F.size(F.filter(hit, lambda x: x == t)) / F.get(F.array(*map(F.lit, sizes)), t)
+    share = lambda t: F.size(F.filter(hit, lambda x: x == t)) / F.get(long_array(sizes), t.cast("int"))
     p = p.withColumn("family", F.when(predicted, F.get(names, F.col("best"))))
-    p = p.withColumn("coverage", F.when(predicted, F.array_max(F.transform(F.get(own, F.col("best")), share))).otherwise(0.0))
+    p = p.withColumn("coverage", F.when(predicted, F.array_max(F.transform(own, share))).otherwise(0.0))
     p = p.withColumn("probability", F.when(predicted, F.col("probability")).otherwise(0.0)).withColumn("confirmed", F.col("coverage") >= COVERED)
     one = F.struct(F.col("_place").alias("paragraph"), F.col("_place").alias("last"), "family", "probability", "coverage", "confirmed")
     p = p.groupBy("_row", "doc_id").agg(F.collect_list(F.when(F.col("family").isNotNull(), one)).alias("_ones"), F.sort_array(F.flatten(F.collect_list("_hits"))).alias("_hits"))
