@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,13 +63,6 @@ def discard(spark: SparkSession, path: str) -> None:
         paths.remove(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps whose results are written: it does so when the driver's JVM collects
-    its garbage, which on a large heap may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
 def recorded() -> Iterator[list[str]]:
     """The paths of all that stored() writes in this context."""
