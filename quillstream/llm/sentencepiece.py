@@ -460,7 +460,7 @@ class Encoder:
 
     def _words(self, text: str) -> list[str]:
         found = WORD.findall(MARK + text.replace(" ", MARK)) if text else []
-        if not any(len(x) > LONG for x in found):
+        if max(map(len, found), default=0) <= LONG:
             return found
         return [y for x in found for y in (self._cut(x) if len(x) > LONG else (x,))]
 
