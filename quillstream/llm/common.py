@@ -95,14 +95,17 @@ def release() -> None:
 
 
 def tidy(f: Callable) -> Callable:
-    """f, which releases memory after each batch."""
+    """f, which releases memory after its first batch and every eighth from then on (it costs a fifth of a batch's time)."""
+    calls = [0]
 
     @wraps(f)
     def run(*batch):
         try:
             return f(*batch)
         finally:
-            release()
+            if calls[0] % 8 == 0:
+                release()
+            calls[0] += 1
 
     return run
 

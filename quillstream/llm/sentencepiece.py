@@ -511,7 +511,7 @@ class Encoder:
         raw = self.raw
         out = []
         for ids in rows:
-            text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
             out.append(text[1:] if text.startswith(" ") else text)
         return out
 
