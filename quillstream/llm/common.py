@@ -80,6 +80,21 @@ def discard_all(spark: SparkSession) -> None:
         discard(spark, path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """left.join(right), never by a broadcast: for sides without a bound.
+
+    Spark would broadcast each side below the session's threshold, and a plan of many joins builds them all at once on the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def merged_to_groups(left: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """merged() with what a groupBy(on) has made. The key's hash is joined too: so both sides are exchanged anew, and
+    Spark can split a frequent key's rows, which it can't where one side lies as grouped."""
+    keyed = lambda df: df.withColumn("_hash", F.xxhash64(on))
+    return merged(keyed(left), keyed(groups), [on, "_hash"]).drop("_hash")
+
+
 @cache
 def _trim() -> Callable[[int], int]:
     try:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bound_batches, discard, materialize, row_key, stored, tidy, whole_text
+from .common import bound_batches, discard, materialize, merged, merged_to_groups, row_key, stored, tidy, whole_text
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -144,7 +144,7 @@ def _meet(members: DataFrame, sides: tuple[tuple[Bits, Bits], ...], last: bool,
     seen = owners.groupBy(bucket).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("owners"))
     mixed = (F.col("least") != F.col("most")).alias("mixed")
     # 1 bit apart in the bits that aren't free: the owner is 1 bit from a midpoint, the other one 2 bits.
-    foreign = probes.join(seen, bucket).where("least != label or most != label").select(*bucket, "fp", "label", "owners", mixed)
+    foreign = merged(probes, seen, bucket).where("least != label or most != label").select(*bucket, "fp", "label", "owners", mixed)
     foreign = materialize(foreign, "foreign", files)
     met = foreign.groupBy(bucket).agg(F.count("*").alias("probes"), F.max("owners").alias("owners"), F.max("mixed").alias("mixed"))
     met = met.union(seen.where(mixed).select(*bucket, F.lit(0).cast("long"), "owners", F.lit(True)))
@@ -152,14 +152,14 @@ def _meet(members: DataFrame, sides: tuple[tuple[Bits, Bits], ...], last: bool,
     dense = (F.col("probes") * F.col("owners") > BALL * (F.col("probes") + F.col("owners"))).alias("dense")
     crowd = (F.col("mixed") & (F.col("owners") > 2 * BALL)).alias("crowd")
     met = materialize(met.select(*bucket, "probes", "mixed", dense, crowd), "met", files)
-    found = materialize(owners.join(met, bucket), "members", files)
-    foreign = foreign.select(*bucket, "fp", "label").join(met.select(*bucket, "dense"), bucket)
+    found = materialize(merged(owners, met, bucket), "members", files)
+    foreign = merged(foreign.select(*bucket, "fp", "label"), met.select(*bucket, "dense"), bucket)
 
     other = found.select(*bucket, F.col("fp").alias("fp2"), F.col("label").alias("label2"), "dense", "probes", "mixed", "crowd")
     close = (F.col("label") != F.col("label2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS)
     link = [F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")]
-    links = foreign.where("not dense").drop("dense").join(other.where("not dense and probes > 0").select(*bucket, "fp2", "label2"), bucket).where(close).select(*link)
-    few = found.where("mixed and not crowd").select(*bucket, "fp", "label").join(other.where("mixed and not crowd").select(*bucket, "fp2", "label2"), bucket)
+    links = merged(foreign.where("not dense").drop("dense"), other.where("not dense and probes > 0").select(*bucket, "fp2", "label2"), bucket).where(close).select(*link)
+    few = merged(found.where("mixed and not crowd").select(*bucket, "fp", "label"), other.where("mixed and not crowd").select(*bucket, "fp2", "label2"), bucket)
     links = links.union(few.where((F.col("fp") < F.col("fp2")) & close).select(*link))
 
     # A member of a bucket 1 bit away has that bit turned already.
@@ -187,7 +187,7 @@ def far_links(labelled: DataFrame, files: int = 1) -> DataFrame:
         links, near, far = links.union(more_links), near.union(more_near), far.union(more_far).union(odd)
     # All who are near a variant have one label.
     near = near.groupBy("variant").agg(F.min("label").alias("a"))
-    pairs = far.distinct().join(near, "variant").where("a != label")
+    pairs = merged(far.distinct(), near, "variant").where("a != label")
     return links.union(pairs.select(F.least("a", "label").alias("a"), F.greatest("a", "label").alias("b"))).distinct()
 
 
@@ -198,7 +198,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = around.join(least, "u")
+    joined = merged_to_groups(around, least, "u")
     if large:
         out = joined.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
@@ -237,9 +237,9 @@ def labels(nodes: DataFrame, files: int = 1) -> DataFrame:
     """(fp, label): the least fingerprint that links of up to 3 bits reach. `files`: about how many tables of fp are cut into."""
     near = components(near_links(nodes), files=files)
     of_near = near.select(F.col("b").alias("fp"), F.col("a").alias("least"))
-    first = materialize(nodes.join(of_near, "fp", "left").select("fp", F.coalesce("least", "fp").alias("label")), "labels", files)
+    first = materialize(merged(nodes, of_near, "fp", "left").select("fp", F.coalesce("least", "fp").alias("label")), "labels", files)
     far = components(far_links(first, files), files=files)
-    return first.join(far.select(F.col("b").alias("label"), F.col("a").alias("least")), "label", "left").select("fp", F.coalesce("least", "label").alias("label"))
+    return merged(first, far.select(F.col("b").alias("label"), F.col("a").alias("least")), "label", "left").select("fp", F.coalesce("least", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -268,8 +268,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "_id", "_row")).alias("first")
     files = _files(prints.count())
     nodes = materialize(prints.groupBy("fp").agg(first), "nodes", files)
-    kept = labels(nodes.select("fp"), files).join(nodes, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    kept = merged(labels(nodes.select("fp"), files), nodes, "fp").groupBy("label").agg(F.min("first").alias("first"))
     kept = materialize(kept.select("first._id", "first._row"), "kept", files)
     # The row travels as a struct, so that no column of docs clashes with one of ours. Repeated rows meet before the exchange.
     rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).dropDuplicates(["_id", "_row"])
-    return rows.join(kept, ["_id", "_row"]).select("row.*")
+    return merged(rows, kept, ["_id", "_row"]).select("row.*")

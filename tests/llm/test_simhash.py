@@ -134,3 +134,26 @@ def test_edges(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "9", "None"]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def plans_since(spark, last=None):
+    """The final plans of all executions after the one numbered `last`; without it the last number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    found = [found.apply(i) for i in range(found.size())]
+    if last is None:
+        return max((x.executionId() for x in found), default=-1)
+    return [x.physicalPlanDescription() for x in found if x.executionId() > last]
+
+
+def test_nothing_without_a_bound_is_broadcast_by_the_stage(spark, sf_dir):
+    """Under Spark's own threshold too: dozens of tables a little below it don't fit the driver."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = plans_since(spark)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760", "10485760b", "10MB")
+    assert len(corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()) > 0
+    plans = plans_since(spark, last)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
