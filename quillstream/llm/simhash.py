@@ -249,10 +249,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = materialize(docs.select("doc_id", fingerprint(whole_text()).alias("fp")), "prints")
     files = _files(prints.count())
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes", files)
-    labelled = materialize(labels(nodes.select("fp"), files).join(nodes, "fp"), "labels", files)
+    labelled = materialize(merged(labels(nodes.select("fp"), files), nodes, "fp"), "labels", files)
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_print = materialize(labelled.join(least, "label").select("fp", "component_id", F.col("label").alias("root")), "components", files)
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    of_print = materialize(merged_to_groups(labelled, least, "label").select("fp", "component_id", F.col("label").alias("root")), "components", files)
+    return merged(prints, of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

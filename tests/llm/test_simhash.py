@@ -157,3 +157,13 @@ def test_nothing_without_a_bound_is_broadcast_by_the_stage(spark, sf_dir):
     plans = plans_since(spark, last)
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_nothing_without_a_bound_is_broadcast_by_the_query(spark, sf_dir):
+    from quillstream.llm.queries import op9_simhash_near_dedup
+
+    last = plans_since(spark)
+    assert len(op9_simhash_near_dedup(spark, sf_dir).collect()) > 0
+    plans = plans_since(spark, last)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
